@@ -3,8 +3,8 @@
 Documents of equal sets are one class, and only a class's least id goes on. ROWS minima to a band and BANDS bands miss a pair
 of similarity 0.8 with a chance of (1 - 0.8 ** ROWS) ** BANDS, under 1e-7. Every bucket of a band names a pivot, and its members
 are tested against the pivot, so that a bucket of n costs n tests. What no pivot joins is then compared within its bucket
-(each member outside the bucket's main component with all others) by whole signatures, block by block; pairs that pass are
-confirmed on their sets. No pairs of one component are compared, and none of different components are left out.
+(each member outside the bucket's main component with all others) by whole signatures and sets, block by block in the task, so that
+a bucket's pairs are never rows; what links there is confirmed like the rest. No pairs of one component are compared, and none of different components are left out.
 """
 
 from __future__ import annotations
@@ -122,30 +122,43 @@ def _sets(parts: Iterator[pd.DataFrame], words: int) -> Iterator[pd.DataFrame]:
     for part in parts:
         for s in chunks(part["text"]):
             own = part.iloc[s]
-            yield pd.DataFrame({"id": own["doc_id"], "own": [x.view(np.int64) for x in shingle_sets(own["text"].tolist(), words)]})
+            sets = shingle_sets(own["text"].tolist(), words)
+            small = [np.unique((x >> _U(32)).astype(np.uint32)).tobytes() for x in sets]
+            yield pd.DataFrame({"id": own["doc_id"], "own": [x.view(np.int64) for x in sets], "small": small})
 
 
-def _pairs(group: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of a block of a bucket: each member that is outside the bucket's main component with each of another component."""
+def _pairs(group: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Links in a block of a bucket, of each member outside the bucket's main component with members of other components.
+
+    Sizes and signatures rule out most; the rest are counted on whole sets, of 32 bits a shingle, with two to spare for hashes
+    that meet. Only links leave the task.
+    """
     group = group.sort_values("id", kind="stable")
-    ids, comp = group["id"].to_numpy(), group["component"].to_numpy()
+    ids, comp, n = group["id"].to_numpy(), group["component"].to_numpy(), group["n"].to_numpy()
     least = np.frombuffer(b"".join(group["least"]), np.uint8).reshape(len(ids), -1)
-    minor, here = np.flatnonzero(group["minor"].to_numpy()), np.flatnonzero(group["here"].to_numpy())
+    sets = [np.frombuffer(x, np.uint32) for x in group["small"]]
+    here = np.flatnonzero(group["here"].to_numpy())
     found = []
-    for i in minor.tolist():
+    for i in np.flatnonzero(group["minor"].to_numpy()).tolist():
         other = here[comp[here] != comp[i]]
-        near = other[(least[other] == least[i]).mean(axis=1) >= LEAST_EQUAL] if len(other) else other
-        found += [(min(a, b), max(a, b)) for a, b in ((int(ids[i]), int(ids[j])) for j in near)]
+        other = other[100 * np.minimum(n[other], n[i]) >= percent * np.maximum(n[other], n[i])]
+        other = other[np.count_nonzero(least[other] == least[i], axis=1) >= LEAST_EQUAL * least.shape[1]]
+        if not len(other):
+            continue
+        theirs = np.concatenate([sets[j] for j in other])
+        at = np.minimum(np.searchsorted(sets[i], theirs), len(sets[i]) - 1)
+        sizes = np.array([len(sets[j]) for j in other])
+        shared = np.add.reduceat((sets[i][at] == theirs).astype(np.int64), np.cumsum(sizes) - sizes)
+        linked = other[100 * (shared + 2) >= percent * (sizes + len(sets[i]) - shared)]
+        found += [(min(a, b), max(a, b)) for a, b in ((int(ids[i]), int(ids[j])) for j in linked)]
     return pd.DataFrame(sorted(set(found)), columns=["u", "v"], dtype="int64")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (u, v) whose full sets have the similarity. Only documents of a pair are made into sets again."""
-    pairs = keep(pairs.distinct(), "pairs")
-    ids = pairs.select(F.col("u").alias("doc_id")).unionByName(pairs.select(F.col("v").alias("doc_id"))).distinct()
-    sets = keep(docs.join(ids, "doc_id", "left_semi").mapInPandas(lambda p: _sets(p, words), "id long, own array<long>"), "sets")
-    both = pairs.join(sets.select(F.col("id").alias("u"), F.col("own").alias("own_u")), "u").join(sets.select(F.col("id").alias("v"), F.col("own").alias("own_v")), "v")
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, v) whose full sets have the similarity."""
+    one, two = (sets.select(F.col("id").alias(c), F.col("own").alias(f"own_{c}")).hint("shuffle_hash") for c in "uv")
     shared = F.size(F.array_intersect("own_u", "own_v"))
+    both = pairs.distinct().join(one, "u").join(two, "v")
     return keep(both.where(100 * shared >= percent * (F.size("own_u") + F.size("own_v") - shared)).select("u", "v"), "confirmed")
 
 
@@ -170,31 +183,37 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
         .where("members > 1")
         .select("key", "members", F.col("low").bitwiseXOR(F.col("key")).alias("pivot"))
     )
-    bucketed = keep(member.join(keep(buckets, "buckets"), "key"), "bucketed")
-    sizes = reps.select(F.col("doc_id").alias("pivot"), F.col("n_shingles").alias("n_pivot"))
+    bucketed = keep(member.join(keep(buckets, "buckets").hint("shuffle_hash"), "key"), "bucketed")
+    # Only documents that share a bucket are made into sets again.
+    ids = bucketed.select(F.col("id").alias("doc_id")).distinct().hint("shuffle_hash")
+    sets = keep(docs.join(ids, "doc_id", "left_semi").mapInPandas(lambda p: _sets(p, words), "id long, own array<long>, small binary"), "sets")
+    sizes = reps.select(F.col("doc_id").alias("pivot"), F.col("n_shingles").alias("n_pivot")).hint("shuffle_hash")
     stars = bucketed.where("id <> pivot").select("id", "n", "pivot").distinct().join(sizes, "pivot")
     fitting = stars.where(100 * F.least("n", "n_pivot") >= percent * F.greatest("n", "n_pivot"))
-    links = _confirmed(fitting.select(F.least("id", "pivot").alias("u"), F.greatest("id", "pivot").alias("v")), docs, words, percent)
+    links = _confirmed(fitting.select(F.least("id", "pivot").alias("u"), F.greatest("id", "pivot").alias("v")), sets, percent)
     found = keep(components(links), "found")
 
-    with_component = bucketed.join(found, "id", "left").select("key", "members", "id", F.coalesce("component", "id").alias("component"))
+    with_component = bucketed.join(found.hint("shuffle_hash"), "id", "left").select("key", "members", "id", "n", F.coalesce("component", "id").alias("component"))
+    with_component = keep(with_component, "with-component")
     split = with_component.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    open_ = keep(with_component.join(split, "key", "left_semi"), "open")
-    main = open_.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
+    open_ = keep(with_component.join(split.hint("shuffle_hash"), "key", "left_semi"), "open")
+    main = open_.groupBy("key", "component").agg(F.count(F.lit(1)).alias("rows")).groupBy("key").agg(F.max_by("component", F.struct("rows", "component")).alias("main"))
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     placed = (
-        open_.join(main, "key")
+        open_.join(main.hint("shuffle_hash"), "key")
         .withColumn("minor", F.col("component") != F.col("main"))
         .withColumn("own", F.pmod(F.xxhash64("id"), blocks).cast("int"))
         .withColumn("block", F.explode(F.when(F.col("minor"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array("own"))))
-        .select("key", "block", "id", "component", "minor", (F.col("own") == F.col("block")).alias("here"))
-        .join(reps.select(F.col("doc_id").alias("id"), "least"), "id")
+        .select("key", "block", "id", "n", "component", "minor", (F.col("own") == F.col("block")).alias("here"))
+        .join(reps.select(F.col("doc_id").alias("id"), "least").hint("shuffle_hash"), "id")
+        .join(sets.select("id", "small").hint("shuffle_hash"), "id")
     )
-    more = _confirmed(placed.groupBy("key", "block").applyInPandas(_pairs, "u long, v long"), docs, words, percent)
+    near = placed.groupBy("key", "block").applyInPandas(lambda g: _pairs(g, percent), "u long, v long")
+    more = _confirmed(near, sets, percent)
     if not more.isEmpty():
         found = keep(components(links.unionByName(more)), "found")
 
-    known = classes.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("d1", "d2", "n_shingles", F.coalesce("component", "rep").alias("component"))
-    out = signed.select("doc_id", "n_shingles", "d1", "d2").join(known, ["d1", "d2", "n_shingles"], "left")
+    known = classes.join(found.withColumnRenamed("id", "rep").hint("shuffle_hash"), "rep", "left").select("d1", "d2", "n_shingles", F.coalesce("component", "rep").alias("component"))
+    out = signed.select("doc_id", "n_shingles", "d1", "d2").join(known.hint("shuffle_hash"), ["d1", "d2", "n_shingles"], "left")
     component = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
