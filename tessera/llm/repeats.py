@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import rindex
 from tessera.llm.bpe import gather
+from tessera.llm.quality import chunks
 from tessera.llm.scratch import keep
 
 LENGTH, GRAM = 100, 24
@@ -120,9 +121,11 @@ def _anchors(batches: Iterator[pa.RecordBatch], length: int, digest: bool) -> It
 def _cut(parts: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFrame]:
     """The bytes of the snippets that are asked of each document."""
     for part in parts:
-        for doc, text, asked in zip(part["doc_id"], part["text"], part["asked"], strict=True):
-            raw = text.encode()
-            rows = [(a["anchor"], int(doc), a["at"], a["many"], raw[a["at"] : a["at"] + a["n"] - 1 + length]) for a in asked]
+        for k in chunks(part["text"]):
+            own, rows = part.iloc[k], []
+            for doc, text, asked in zip(own["doc_id"], own["text"], own["asked"], strict=True):
+                raw = text.encode()
+                rows += [(a["anchor"], doc, a["at"], a["many"], raw[a["at"] : a["at"] + a["n"] - 1 + length]) for a in asked]
             yield pd.DataFrame(rows, columns=["anchor", "doc_id", "at", "many", "own"])
 
 

@@ -51,7 +51,7 @@ def build(text: np.ndarray) -> RunIndex:
         key = (key << 9) | padded[j : j + n]
     levels: list[tuple[int, np.ndarray]] = []
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         fresh = np.append(True, key[order][1:] != key[order][:-1])
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(fresh)
