@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -127,9 +127,11 @@ class Network:
 def coded(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """The texts' words as numbers, one text after another; how many each has; the distinct words."""
     known: dict[str, int] = {}
-    found = [_WORD.findall((t or "").lower()) for t in texts]
-    sizes = np.array([len(x) for x in found], np.int64)
-    return np.fromiter((known.setdefault(w, len(known)) for x in found for w in x), np.int64, int(sizes.sum())), sizes, list(known)
+    parts = []
+    for t in texts:
+        found = _WORD.findall((t or "").lower())
+        parts.append(np.fromiter((known.setdefault(w, len(known)) for w in found), np.int64, len(found)))
+    return np.concatenate([np.zeros(0, np.int64), *parts]), np.array([len(x) for x in parts], np.int64), list(known)
 
 
 def windows(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -146,7 +148,7 @@ def spread(codes: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nd
     return codes[np.where(mask, place, start[:, None])], mask.astype(np.float32)
 
 
-def leaning(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
+def leaning(rows: Iterable[np.ndarray], y: np.ndarray) -> np.ndarray:
     """How far each bucket leans to label 1, between -1 and 1: the surplus of documents that have it over what chance gives, in deviations."""
     counts = np.zeros((2, BUCKETS + 1))
     for own, label in zip(rows, y, strict=True):
@@ -178,8 +180,8 @@ def fit(texts: list[str], y: np.ndarray, steps: int = STEPS, seed: int = 11) ->
     ends = np.append(starts[1:], grams.shape[1])
     bounds = np.append(0, np.cumsum(sizes))
     mine = [np.unique(codes[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-    net.words[:, 0] = 2 * leaning([np.unique(own[m]) for m in mine], y)
-    net.chars[:, 0] = 4 * leaning([np.unique(np.concatenate([grams[:, starts[i] : ends[i]].ravel() for i in m] or [np.zeros(0, np.int64)])) for m in mine], y)
+    net.words[:, 0] = 2 * leaning((np.unique(own[m]) for m in mine), y)
+    net.chars[:, 0] = 4 * leaning((np.unique(grams[:, gather(starts[m], ends[m] - starts[m])]) for m in mine), y)
     net.chars[-1] = net.words[-1] = 0
     weight = np.where(y == 1, 0.5 * len(y) / y.sum(), 0.5 * len(y) / (len(y) - y.sum()))
     own_sums = [{k: np.zeros_like(getattr(net, k), np.float64) for k in ("into", "back", "look", "out")} for _ in range(2)]
