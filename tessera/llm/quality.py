@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.vectors import drawn
+
 FEATURES = 1 << 18
 MOST_LABELLED = 6000
 HELD_OUT = 5
@@ -37,14 +39,12 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataF
 
     The draw has a fixed bound, so it is broadcast; documents are not shuffled. Of an id with several labels the least holds.
     """
-    drawn = (
+    known = (
         labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out(F.col("doc_id")))
         .groupBy("doc_id")
         .agg(F.min(label).cast("int").alias("label"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(most)
     )
-    return docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
+    return docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(drawn(known, "doc_id", most)), "doc_id")
 
 
 def _mix(x: np.ndarray) -> np.ndarray:

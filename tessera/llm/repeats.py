@@ -260,8 +260,8 @@ def union(spans: list, n: int) -> list[tuple[int, int]]:
     return [(s, e) for s, e in out]
 
 
-def _with_spans(docs: DataFrame, length: int) -> DataFrame:
-    marks = repeat_marks(docs, length).groupBy("doc_id").agg(F.collect_list(F.struct("s", "e")).alias("spans_"))
+def _with_spans(docs: DataFrame, length: int, name: str = "spans_") -> DataFrame:
+    marks = repeat_marks(docs, length).groupBy("doc_id").agg(F.collect_list(F.struct("s", "e")).alias(name))
     return docs.join(keep(marks, "marks").hint("shuffle_hash"), "doc_id", "left")
 
 
@@ -307,11 +307,12 @@ def without(text: str, spans: list) -> str:
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """docs with repeated passages cut from text, and n_chars, if there, made to fit; null texts stay null, rows all stay."""
     columns = docs.columns
+    name = "spans_" + "_" * max(map(len, columns))  # longer than any name that is there
 
     def run(texts: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([t if t is None or x is None else without(t, list(x)) for t, x in zip(texts, spans, strict=True)], dtype=object)
 
-    out = _with_spans(docs, length).withColumn("text", F.pandas_udf(run, "string")(F.col("text"), F.col("spans_")))
+    out = _with_spans(docs, length, name).withColumn("text", F.pandas_udf(run, "string")(F.col("text"), F.col(name)))
     if "n_chars" in columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*columns)
