@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import optics, robust
 from tessera.operators import catalog, lookup, ordered, raster
+from tessera.sources import container
 from tessera.sources.standins import MODULE_ROWS, PX_SQL, WIDTH, pixels, sensor_rows, table
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -126,6 +127,13 @@ def burst_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged.groupBy("m").agg(F.round(F.avg("merged"), 6).alias("merged"), F.round(F.avg("weight"), 6).alias("weight"))
 
 
+@_query("SELECT m, y, CAST(sum(raw * (x + 1)) AS BIGINT) AS weighted, count(*) AS samples FROM px GROUP BY m, y", px=True)
+def raw10_unpack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = sensor_rows(spark, sf_dir).select("m", "y", F.pandas_udf(lambda rows: rows.map(container.pack10), "binary")("raw").alias("p"))
+    read = packed.select("m", "y", F.posexplode(container.samples10(F.col("p"))).alias("x", "v"))
+    return read.groupBy("m", "y").agg(F.sum(F.col("v") * (F.col("x") + 1)).cast("long").alias("weighted"), F.count(F.lit(1)).alias("samples"))
+
+
 # Order statistics
 
 
