@@ -59,3 +59,14 @@ def delta_e00(l1: Column, a1: Column, b1: Column, l2: Column, a2: Column, b2: Co
     rt = -F.sin(F.radians(60.0 * F.exp(-F.pow((hm - 275.0) / 25.0, F.lit(2.0))))) * 2.0 * F.sqrt(cm7 / (cm7 + 25.0**7))
     x, y, z = (l2 - l1) / sl, (c2 - c1) / sc, big_dh / sh
     return F.sqrt(x * x + y * y + z * z + rt * y * z)
+
+
+def oriented(code: Column, x: Column, y: Column, width: int, height: int) -> tuple[Column, Column]:
+    """Where the sample at x, y of a frame comes to lie by each of the eight orientation codes."""
+    right, below = width - 1 - x, height - 1 - y
+    # Place by code; a code that is not known leaves it.
+    places = [(x, y), (below, x), (y, right), (below, right), (y, x), (x, below), (right, y), (right, below)]
+    dx, dy = x, y
+    for k, (a, b) in enumerate(places[1:], 1):
+        dx, dy = F.when(code == k, a).otherwise(dx), F.when(code == k, b).otherwise(dy)
+    return dx, dy

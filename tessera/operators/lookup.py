@@ -63,3 +63,29 @@ def pairs(rows: DataFrame, within: str, member: str, value: str) -> DataFrame:
         .agg((F.sum(F.col(value) * (2 * F.col("i") - F.col("n") + 1)) / (F.max("n") * (F.max("n") - 1) / 2)).alias("mean_difference"), F.max("n").alias("members"))
         .where("members > 1")
     )
+
+
+def extrapolated(rows: DataFrame, nodes: DataFrame, at: str, key: str, value: str, out: str) -> DataFrame:
+    """rows with out: value between the nodes around at, the first and last segments going on beyond the ends; one node holds everywhere."""
+    order = Window.orderBy("lo")  # a table of bounded size
+    n = nodes.select(F.col(key).cast("double").alias("lo"), F.col(value).cast("double").alias("v_lo"))
+    n = n.select("lo", F.lead("lo").over(order).alias("hi"), "v_lo", F.lead("v_lo").over(order).alias("v_hi"), F.row_number().over(order).alias("i"), F.count(F.lit(1)).over(Window.partitionBy()).alias("n"))
+    s = n.where("i < n OR n = 1")
+    inside = ((F.col("i") == 1) | (F.col(at) >= F.col("lo"))) & ((F.col("i") >= F.col("n") - 1) | (F.col(at) < F.col("hi")))
+    slope = F.coalesce((F.col("v_hi") - F.col("v_lo")) / (F.col("hi") - F.col("lo")), F.lit(0.0))
+    return rows.join(F.broadcast(s), inside).withColumn(out, F.col("v_lo") + slope * (F.col(at) - F.col("lo"))).drop("lo", "hi", "v_lo", "v_hi", "i", "n")
+
+
+def excess_at(frames: DataFrame, nodes: DataFrame) -> DataFrame:
+    """m, lo, hi, excess: each severity band's excess at the frame's temperature t, held at the ends of the nodes (lo, hi, node, excess)."""
+    w = Window.partitionBy("lo", "hi").orderBy("node")
+    i = nodes.select("lo", "hi", F.col("node").alias("a"), F.lead("node").over(w).alias("z"), F.col("excess").alias("ea"), F.lead("excess").over(w).alias("ez"), F.row_number().over(w).alias("i"), F.count(F.lit(1)).over(Window.partitionBy("lo", "hi")).alias("n")).where("i < n OR n = 1")
+    inside = ((F.col("i") == 1) | (F.col("t") >= F.col("a"))) & ((F.col("i") >= F.col("n") - 1) | (F.col("t") < F.col("z")))
+    share = F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("t") - F.col("a")) / (F.col("z") - F.col("a")))), F.lit(0.0))
+    return frames.join(F.broadcast(i), inside).select("m", "lo", "hi", (F.col("ea") + share * (F.coalesce("ez", "ea") - F.col("ea"))).alias("excess"))
+
+
+def active(samples: DataFrame, bands: DataFrame, gain: float, threshold: float) -> DataFrame:
+    """Samples in a band whose excess times gain comes to the threshold."""
+    hot = bands.where(F.col("excess") * gain >= threshold)
+    return samples.join(hot, (samples["m"] == hot["m"]) & (samples["sev"] >= hot["lo"]) & (samples["sev"] < hot["hi"])).select(samples["*"])

@@ -49,3 +49,8 @@ def newest_within(entries: DataFrame, key: str, size: str, limit: int, *order: C
     """Entries of each key, newest first, while their sizes sum to the limit at most: what an eviction leaves."""
     w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return entries.withColumn("total", F.sum(size).over(w)).where(F.col("total") <= limit)
+
+
+def running(rows: DataFrame, key: list[str], value: str, out: str, *order: Column) -> DataFrame:
+    """rows with out: the sum of value up to each row of its key."""
+    return rows.withColumn(out, F.sum(value).over(Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))

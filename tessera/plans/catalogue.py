@@ -2,36 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import optics, robust
 from tessera.operators import catalog, lookup, ordered, raster
+from tessera.plans import multiview, photometry  # noqa: F401 (they register their queries)
+from tessera.plans.registry import oracle_sql, queries  # noqa: F401
+from tessera.plans.registry import query as _query
 from tessera.sources import container
-from tessera.sources.standins import MODULE_ROWS, PX_SQL, WIDTH, pixels, sensor_rows, table
-
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_SQL: dict[str, str] = {}
-
-
-def _query(sql: str, px: bool = False):
-    def put(f):
-        _QUERIES[f.__name__] = f
-        _SQL[f.__name__] = f"WITH {PX_SQL}{',' if sql.lstrip().startswith('+') else ''} {sql.lstrip().removeprefix('+')}" if px else sql
-        return f
-
-    return put
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
-
+from tessera.sources.standins import MODULE_ROWS, WIDTH, pixels, sensor_rows, table
 
 def _per_module(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All samples of each module in one array: modules are of fixed size here."""
