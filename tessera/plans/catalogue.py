@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import optics, robust
 from tessera.operators import catalog, lookup, ordered, raster
-from tessera.plans import multiview, photometry  # noqa: F401 (they register their queries)
+from tessera.plans import multiview, photometry, views  # noqa: F401 (they register their queries)
 from tessera.plans.registry import oracle_sql, queries  # noqa: F401
 from tessera.plans.registry import query as _query
 from tessera.sources import container

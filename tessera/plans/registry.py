@@ -12,9 +12,13 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 
 
-def query(sql: str, px: bool = False):
+def query(sql: str | None, px: bool = False):
+    """Register a query; one without SQL is tested against a plain restatement."""
+
     def put(f):
         _QUERIES[f.__name__] = f
+        if sql is None:
+            return f
         _SQL[f.__name__] = f"WITH {PX_SQL}{',' if sql.lstrip().startswith('+') else ''} {sql.lstrip().removeprefix('+')}" if px else sql
         return f
 
