@@ -12,14 +12,14 @@ def _tenths(x: Column) -> Column:
 
 
 def bytes_text(n: Column) -> Column:
-    """B, kB, MB or GB by thousands, with one decimal above bytes."""
+    """Bytes, KiB or MiB, the last two with one decimal."""
     part = lambda unit, size: F.concat(_tenths(n / float(size)), F.lit(f" {unit}"))
-    return F.when(n >= 10**9, part("GB", 10**9)).when(n >= 10**6, part("MB", 10**6)).when(n >= 10**3, part("kB", 10**3)).otherwise(F.format_string("%d B", n))
+    return F.when(n >= 1 << 20, part("MiB", 1 << 20)).when(n >= 1 << 10, part("KiB", 1 << 10)).otherwise(F.concat(n.cast("string"), F.lit(" B")))
 
 
 def shutter_text(ns: Column) -> Column:
-    """A fraction below a third of a second, else seconds."""
-    return F.when(ns < 333_000_000, F.format_string("1/%d s", F.round(1e9 / ns).cast("long"))).otherwise(F.concat(_tenths(ns / 1e9), F.lit(" s")))
+    """Seconds, or one over a whole number below a second; a dash for no time."""
+    return F.when(ns >= 10**9, F.concat(_tenths(ns / 1e9), F.lit(" s"))).when(ns > 0, F.format_string("1/%d s", F.rint(1.0 / (ns / 1e9)).cast("long"))).otherwise("-")
 
 
 def elided(text: Column, most: int) -> Column:

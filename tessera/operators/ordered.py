@@ -23,11 +23,16 @@ def trapezoid(samples: DataFrame, key: list[str], at: str, value: str) -> DataFr
     return samples.withColumn("step_", step).groupBy(*key).agg(F.coalesce(F.sum("step_"), F.lit(0.0)).alias("integral"), F.count(F.lit(1)).alias("samples"))
 
 
-def high_pass(values: DataFrame, key: list[str], at: str, value: str, radius: int) -> DataFrame:
-    """value less the mean of up to radius neighbours on either side, itself left out."""
-    w = Window.partitionBy(*key).orderBy(at).rowsBetween(-radius, radius)
-    near = (F.sum(value).over(w) - F.col(value)) / F.nullif(F.count(value).over(w) - 1, F.lit(0))
-    return values.withColumn("high", F.col(value) - F.coalesce(near, F.col(value)))
+def high_pass(values: DataFrame, key: list[str], at: str, value: str, radius: int, step: int = 2) -> DataFrame:
+    """key, at and high: value less the median of the radius lines on either side at distances of step, reflected at the borders.
+
+    at counts a key's lines from 0 without gaps; a key is an image, whose lines fit in an array.
+    """
+    lines = values.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(F.col(at).alias("at"), F.col(value).cast("double").alias("v")))).alias("l"))
+    place = f"transform(filter(sequence(-{radius}, {radius}), d -> d <> 0), d -> pmod(i + d * {step}, greatest(2 * size(l) - 2, 1)))"
+    near = f"array_sort(transform({place}, p -> l[least(p, abs(2 * size(l) - 2 - p))].v))"
+    high = F.expr(f"transform(l, (e, i) -> named_struct('at', e.at, 'high', transform(array({near}), n -> e.v - (n[{radius} - 1] + n[{radius}]) / 2)[0]))")
+    return lines.select(*key, F.inline(high)).withColumnRenamed("at", at)
 
 
 def strata(rows: DataFrame, key: str, *order: Column, count: int) -> DataFrame:

@@ -304,14 +304,14 @@ def gyro_trapezoid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(
-    """+ r AS (SELECT m, y, y % 2 AS phase, avg(raw) AS v FROM px GROUP BY ALL),
-h AS (SELECT *, sum(v) OVER w - v AS s, count(v) OVER w - 1 AS n FROM r WINDOW w AS (PARTITION BY m, phase ORDER BY y ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING))
-SELECT m, y, round(v - s / n, 6) AS high FROM h""",
+    """+ r AS (SELECT m, y, avg(raw) AS v, count(*) OVER (PARTITION BY m) AS n FROM px GROUP BY m, y), d AS (SELECT unnest([-4, -3, -2, -1, 1, 2, 3, 4]) AS d),
+p AS (SELECT m, y, v, CASE WHEN y + 2 * d < 0 THEN -(y + 2 * d) WHEN y + 2 * d >= n THEN 2 * n - 2 - (y + 2 * d) ELSE y + 2 * d END AS q FROM r, d)
+SELECT p.m, p.y, round(p.v - quantile_cont(r.v, 0.5), 6) AS high FROM p JOIN r ON r.m = p.m AND r.y = p.q GROUP BY p.m, p.y, p.v""",
     px=True,
 )
 def high_pass_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    means = sensor_rows(spark, sf_dir).select("m", "y", (F.col("y") % 2).alias("phase"), (F.aggregate("raw", F.lit(0), lambda a, v: a + v) / F.size("raw")).alias("v"))
-    return ordered.high_pass(means, ["m", "phase"], "y", "v", 4).select("m", "y", F.round("high", 6).alias("high"))
+    means = sensor_rows(spark, sf_dir).select("m", "y", (F.aggregate("raw", F.lit(0), lambda a, v: a + v) / F.size("raw")).alias("v"))
+    return ordered.high_pass(means, ["m"], "y", "v", 4).select("m", "y", F.round("high", 6).alias("high"))
 
 
 @_query(

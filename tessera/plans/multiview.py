@@ -53,13 +53,13 @@ def oldest_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT p_partkey, CASE WHEN b >= 1e9 THEN format('{:.1f} GB', b / 1e9) WHEN b >= 1e6 THEN format('{:.1f} MB', b / 1e6) WHEN b >= 1e3 THEN format('{:.1f} kB', b / 1e3) ELSE format('{:d} B', b) END AS size,
-  CASE WHEN ns < 333000000 THEN format('1/{:d} s', CAST(round(1e9 / ns) AS BIGINT)) ELSE format('{:.1f} s', ns / 1e9) END AS shutter,
+    """SELECT p_partkey, CASE WHEN b >= 1048576 THEN format('{:.1f} MiB', b / 1048576.0) WHEN b >= 1024 THEN format('{:.1f} KiB', b / 1024.0) ELSE format('{:d} B', b) END AS size,
+  CASE WHEN ns >= 1000000000 THEN format('{:.1f} s', ns / 1e9) WHEN ns > 0 THEN format('1/{:.0f} s', 1 / (ns / 1e9)) ELSE '-' END AS shutter,
   CASE WHEN length(p_name) <= 9 THEN p_name ELSE p_name[1:4] || '…' || right(p_name, 4) END AS short
-FROM (SELECT *, CAST(pow(p_size, 5) + 1 AS BIGINT) AS b, CAST(p_size * 12500001 AS BIGINT) AS ns FROM part)"""
+FROM (SELECT *, CAST(pow(p_size, 5) + 1 AS BIGINT) AS b, CAST((p_size - 1) * 25000001 AS BIGINT) AS ns FROM part)"""
 )
 def catalogue_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part").withColumn("b", (F.pow("p_size", F.lit(5.0)) + 1).cast("long")).withColumn("ns", F.col("p_size").cast("long") * 12_500_001)
+    p = table(spark, sf_dir, "part").withColumn("b", (F.pow("p_size", F.lit(5.0)) + 1).cast("long")).withColumn("ns", (F.col("p_size").cast("long") - 1) * 25_000_001)
     return p.select("p_partkey", text.bytes_text(F.col("b")).alias("size"), text.shutter_text(F.col("ns")).alias("shutter"), text.elided(F.col("p_name"), 9).alias("short"))
 
 
