@@ -32,7 +32,7 @@ def changes(states: DataFrame, by: list[str], state: str, *order: Column) -> Dat
 
 
 def tiered(samples: DataFrame, by: list[str], tier: str, value: str, weight: str, order: str, step: float = 1.2) -> DataFrame:
-    """by, tier, mean, used: in order, a sample of a tier over step times the present one starts anew, one under a step-th of it is left out.
+    """by, tier, total, weight, mean, used: in order, a sample of a tier over step times the present one starts anew, one under a step-th of it is left out.
 
     The result hangs on the order, so a key's samples (one per module, of which there are few) are sorted into an array and folded.
     """
@@ -47,5 +47,5 @@ def tiered(samples: DataFrame, by: list[str], tier: str, value: str, weight: str
         samples.groupBy(*by)
         .agg(F.array_sort(F.collect_list(s)).alias("s"))
         .withColumn("a", folded)
-        .select(*by, F.col("a.t").alias("tier"), F.try_divide("a.v", "a.w").alias("mean"), F.col("a.n").alias("used"))
+        .select(*by, F.col("a.t").alias("tier"), F.col("a.v").alias("total"), F.col("a.w").alias("weight"), F.try_divide("a.v", "a.w").alias("mean"), F.col("a.n").alias("used"))
     )

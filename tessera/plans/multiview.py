@@ -87,11 +87,11 @@ def sharpest_row(spark: SparkSession, sf_dir: str) -> DataFrame:
 a AS (SELECT k, i, t, v * w AS s, w, 1 AS n FROM s WHERE i = 1 UNION ALL
   SELECT s.k, s.i, CASE WHEN s.t > a.t * 1.2 THEN s.t WHEN s.t * 1.2 < a.t THEN a.t ELSE greatest(a.t, s.t) END, CASE WHEN s.t > a.t * 1.2 THEN s.v * s.w WHEN s.t * 1.2 < a.t THEN a.s ELSE a.s + s.v * s.w END,
     CASE WHEN s.t > a.t * 1.2 THEN s.w WHEN s.t * 1.2 < a.t THEN a.w ELSE a.w + s.w END, CASE WHEN s.t > a.t * 1.2 THEN 1 WHEN s.t * 1.2 < a.t THEN a.n ELSE a.n + 1 END FROM a JOIN s ON s.k = a.k AND s.i = a.i + 1)
-SELECT k, round(t, 6) AS tier, round(s / w, 4) AS mean, n AS used FROM a WHERE i = (SELECT max(i) FROM s WHERE s.k = a.k)"""
+SELECT k, round(t, 6) AS tier, CAST(round(s * 100) AS BIGINT) AS total_hundredths, w AS weight, n AS used FROM a WHERE i = (SELECT max(i) FROM s WHERE s.k = a.k)"""
 )
 def detail_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS k", "struct(l_linenumber, l_partkey) AS o", "1 + l_discount * 10 AS t", "l_extendedprice AS v", "l_quantity AS w")
-    return state.tiered(s, ["k"], "t", "v", "w", "o").select("k", F.round("tier", 6).alias("tier"), F.round("mean", 4).alias("mean"), "used")
+    return state.tiered(s, ["k"], "t", "v", "w", "o").select("k", F.round("tier", 6).alias("tier"), F.round(F.col("total") * 100).cast("long").alias("total_hundredths"), "weight", "used")
 
 
 @query("SELECT user_id, event_id, epoch_us(ts) AS us, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 4) AS pose FROM events")

@@ -46,3 +46,11 @@ def test_upsert_takes_the_new_row_of_a_tie(spark):
     assert {r.k: r.v for r in catalog.upserted(old, new, "k", "t").collect()} == {1: "new", 2: "old"}
     kept = ordered.newest_within(spark.createDataFrame([("a", i, 10) for i in range(5)], "k string, t int, size int"), "k", "size", 30, F.col("t").desc())
     assert {r.t for r in kept.collect()} == {4, 3, 2}
+
+
+def test_tiers_start_anew(spark):
+    from tessera.operators import state
+
+    rows = [("a", 1, 1.0, 10.0, 1.0), ("a", 2, 1.1, 20.0, 1.0), ("a", 3, 2.0, 5.0, 2.0), ("a", 4, 1.0, 99.0, 9.0), ("b", 1, 0.0, 1.0, 0.0)]
+    got = {r.k: r for r in state.tiered(spark.createDataFrame(rows, "k string, o int, t double, v double, w double"), ["k"], "t", "v", "w", "o").collect()}
+    assert (got["a"].tier, got["a"].mean, got["a"].used) == (2.0, 5.0, 1) and got["b"].mean is None
