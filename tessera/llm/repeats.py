@@ -6,6 +6,9 @@ twice can hold repeats. Equal snippets are one class, of which all but the earli
 around a shared anchor, at the edges of copies, goes to run-length indexes (rindex), anchor by anchor in blocks of bounded
 size, where matching statistics mark the strings that occur earlier. Anchors with very many different snippets would not fit a
 block: their strings are compared singly, by 128-bit hashes dealt over all partitions.
+
+A string is earlier by (doc_id, first byte); the same doc_id and first byte are not earlier, whatever row they stand in. Texts
+are told apart by doc_id and a digest v, so repeated rows count once and different texts of one id have marks of their own.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import rindex
@@ -96,13 +99,13 @@ def _joined(held: list[tuple[bytes, int, int]]) -> tuple[bytes, np.ndarray, np.n
     return b"".join(h[0] for h in held), np.array([len(h[0]) for h in held]), np.array([h[1] for h in held]), np.array([h[2] for h in held])
 
 
-_ANCHORS = "anchor long, s1 long, s2 long, doc_id long, at int, n int"
+_ANCHORS = "anchor long, s1 long, s2 long, doc_id long, v long, at int, n int"
 
 
 def _anchors(batches: Iterator[pa.RecordBatch], length: int, digest: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids = batch.column(0).to_numpy(zero_copy_only=False)
-        raws = [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in batch.column(1)]
+        ids, digests = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+        raws = [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in batch.column(2)]
         for data, sizes, doc, offset in _pieces(raws, length):
             anchor, at, n = snippets(np.frombuffer(data, np.uint8), sizes, length)
             if not len(at):
@@ -114,28 +117,29 @@ def _anchors(batches: Iterator[pa.RecordBatch], length: int, digest: bool) -> It
                 begins = np.cumsum(sizes) - sizes
                 piece = np.searchsorted(begins, at, side="right") - 1
                 place = at - begins[piece] + offset[piece]
-                columns += [pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(ids[doc[piece]]), pa.array(place.astype(np.int32)), pa.array(n.astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(columns, ["anchor", "s1", "s2", "doc_id", "at", "n"][: len(columns)])
+                columns += [pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(ids[doc[piece]]), pa.array(digests[doc[piece]]), pa.array(place.astype(np.int32)), pa.array(n.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, ["anchor", "s1", "s2", "doc_id", "v", "at", "n"][: len(columns)])
 
 
 def _cut(parts: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFrame]:
     """The bytes of the snippets that are asked of each document."""
     for part in parts:
+        part = part.drop_duplicates(["doc_id", "v"])
         for k in chunks(part["text"]):
             own, rows = part.iloc[k], []
-            for doc, text, asked in zip(own["doc_id"], own["text"], own["asked"], strict=True):
+            for doc, v, text, asked in zip(own["doc_id"], own["v"], own["text"], own["asked"], strict=True):
                 raw = text.encode()
-                rows += [(a["anchor"], doc, a["at"], a["many"], raw[a["at"] : a["at"] + a["n"] - 1 + length]) for a in asked]
-            yield pd.DataFrame(rows, columns=["anchor", "doc_id", "at", "many", "own"])
+                rows += [(a["anchor"], doc, v, a["at"], a["many"], raw[a["at"] : a["at"] + a["n"] - 1 + length]) for a in asked]
+            yield pd.DataFrame(rows, columns=["anchor", "doc_id", "v", "at", "many", "own"])
 
 
-def _spans(doc: np.ndarray, at: np.ndarray, length: int) -> pd.DataFrame:
+def _spans(doc: np.ndarray, v: np.ndarray, at: np.ndarray, length: int) -> pd.DataFrame:
     """Marked strings as spans of bytes, those that follow each other as one."""
-    order = np.lexsort((at, doc))
-    doc, at = doc[order], at[order]
-    first = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (at[1:] != at[:-1] + 1)) if len(at) else np.zeros(0, bool))
+    order = np.lexsort((at, v, doc))
+    doc, v, at = doc[order], v[order], at[order]
+    first = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (v[1:] != v[:-1]) | (at[1:] != at[:-1] + 1)) if len(at) else np.zeros(0, bool))
     last = np.append(first[1:], len(at)) - 1 if len(first) else first
-    return pd.DataFrame({"doc_id": doc[first], "s": at[first], "e": at[last] + length})
+    return pd.DataFrame({"doc_id": doc[first], "v": v[first], "s": at[first], "e": at[last] + length})
 
 
 def _indexed(parts: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFrame]:
@@ -144,13 +148,15 @@ def _indexed(parts: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFram
     size = 0
 
     def solve() -> pd.DataFrame:
-        block = pd.concat(held).sort_values(["doc_id", "at"], kind="stable")  # so that earlier in the block is earlier in the corpus
+        block = pd.concat(held).drop_duplicates(["anchor", "doc_id", "v", "at"])
         strings = block["own"].tolist()
-        marked = np.flatnonzero(rindex.repeated(strings, length))
         sizes = np.array([len(s) + 1 for s in strings])
         begins = np.cumsum(sizes) - sizes
+        rank = np.unique(block["doc_id"].to_numpy(), return_inverse=True)[1].astype(np.int64)
+        places = np.repeat((rank << 32) + block["at"].to_numpy().astype(np.int64) - begins, sizes) + np.arange(sizes.sum())
+        marked = np.flatnonzero(rindex.repeated(strings, length, places))
         which = np.searchsorted(begins, marked, side="right") - 1
-        return _spans(block["doc_id"].to_numpy()[which], block["at"].to_numpy()[which] + marked - begins[which], length)
+        return _spans(block["doc_id"].to_numpy()[which], block["v"].to_numpy()[which], block["at"].to_numpy()[which] + marked - begins[which], length)
 
     for part in parts:
         if not len(part):
@@ -174,79 +180,95 @@ def _indexed(parts: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFram
 
 
 def _strings(parts: Iterator[pd.DataFrame], length: int, buckets: int) -> Iterator[pd.DataFrame]:
-    """Every string of snippets, packed by the bucket of its hash: rows of two hashes, document and place; of equal ones here the earliest, the others marked."""
+    """Every string of snippets, packed by the bucket of its hash: rows of two hashes, document, place and digest; of equal ones here the earliest, the later ones marked."""
     for part in parts:
         if not len(part):
             continue
         sizes = part["own"].map(len).to_numpy() - length + 1
         got = b"".join([xxhash.xxh3_128_digest(s[i : i + length]) for s in part["own"] for i in range(len(s) - length + 1)])
-        rows = np.empty((int(sizes.sum()), 4), "<i8")
+        rows = np.empty((int(sizes.sum()), 5), "<i8")
         rows[:, :2] = np.frombuffer(got, "<i8").reshape(-1, 2)
         rows[:, 2] = np.repeat(part["doc_id"].to_numpy(), sizes)
         rows[:, 3] = gather(part["at"].to_numpy().astype(np.int64), sizes)
+        rows[:, 4] = np.repeat(part["v"].to_numpy(), sizes)
         rows, again = _earliest(rows)
-        spans = _spans(again[:, 2], again[:, 3], length)
+        spans = _spans(again[:, 2], again[:, 4], again[:, 3], length)
         spans["bucket"], spans["packed"] = -1, None
         yield spans
         bucket = (rows[:, 0].view(_U) % _U(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
         full = [b for b in range(buckets) if bounds[b] < bounds[b + 1]]
-        yield pd.DataFrame({"doc_id": 0, "s": 0, "e": 0, "bucket": full, "packed": [rows[order[bounds[b] : bounds[b + 1]]].tobytes() for b in full]})
+        yield pd.DataFrame({"doc_id": 0, "v": 0, "s": 0, "e": 0, "bucket": full, "packed": [rows[order[bounds[b] : bounds[b + 1]]].tobytes() for b in full]})
 
 
 def _earliest(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of the rows of each hash the earliest, and all others."""
-    rows = rows[np.lexsort((rows[:, 3], rows[:, 2], rows[:, 1], rows[:, 0]))]
-    first = np.append(True, (rows[1:, :2] != rows[:-1, :2]).any(axis=1)) if len(rows) else np.zeros(0, bool)
-    return rows[first], rows[~first]
+    """Of the rows of each hash the earliest, one of each text that has them at the same place, and all later ones."""
+    rows = rows[np.lexsort((rows[:, 4], rows[:, 3], rows[:, 2], rows[:, 1], rows[:, 0]))]
+    if not len(rows):
+        return rows, rows
+    rows = rows[np.append(True, (rows[1:] != rows[:-1]).any(axis=1))]
+    first = np.append(True, (rows[1:, :2] != rows[:-1, :2]).any(axis=1))
+    least = rows[np.flatnonzero(first)[np.cumsum(first) - 1]]
+    early = (rows[:, 2:4] == least[:, 2:4]).all(axis=1)
+    return rows[early], rows[~early]
 
 
 def _met(parts: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFrame]:
     """A partition's packed strings: a hash comes once from each batch that has it."""
     packed = [p for part in parts for p in part["packed"]]
     if packed:
-        rows = np.frombuffer(b"".join(packed), "<i8").reshape(-1, 4)
+        rows = np.frombuffer(b"".join(packed), "<i8").reshape(-1, 5)
         again = _earliest(rows)[1]
-        yield _spans(again[:, 2], again[:, 3], length)
+        yield _spans(again[:, 2], again[:, 4], again[:, 3], length)
+
+
+_MARKS = "doc_id long, v long, s long, e long"
 
 
-_MARKS = "doc_id long, s long, e long"
+def _digest(text: str) -> Column:
+    return F.xxhash64(F.col(text))
 
 
 def repeat_marks(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(doc_id, s, e): spans of bytes covered by strings that start earlier too, in no order, overlapping, from documents with an id."""
+    """(doc_id, v, s, e): spans of bytes covered by strings that start earlier too, in no order, overlapping, from documents with an id; v is the text's digest."""
     spark = docs.sparkSession
-    texts = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text")
+    texts = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", _digest("text").alias("v"), "text")
     again = keep(
         texts.mapInArrow(lambda b: _anchors(b, length, False), "anchor long").groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "anchors"
     )
     every = texts.mapInArrow(lambda b: _anchors(b, length, True), _ANCHORS)
     rows = keep(every.join(again.hint("shuffle_hash"), "anchor"), "snippets")
     classes = keep(
-        rows.groupBy("anchor", "s1", "s2").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.max("n").alias("n"), F.count(F.lit(1)).alias("rows")), "classes"
+        rows.groupBy("anchor", "s1", "s2").agg(F.min(F.struct("doc_id", "at", "v")).alias("first"), F.max("n").alias("n"), F.count(F.lit(1)).alias("rows")), "classes"
     )
     firsts = classes.where("rows > 1").select("anchor", "s1", "s2", "first")
     copies = (
         rows.join(firsts.hint("shuffle_hash"), ["anchor", "s1", "s2"])
         .where("doc_id <> first.doc_id OR at <> first.at")
-        .select("doc_id", F.col("at").cast("long").alias("s"), (F.col("at") + F.col("n") - 1 + length).cast("long").alias("e"))
+        .select("doc_id", "v", F.col("at").cast("long").alias("s"), (F.col("at") + F.col("n") - 1 + length).cast("long").alias("e"))
     )
     kinds = classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    earliest = classes.select("anchor", F.col("first.doc_id").alias("doc_id"), F.col("first.v").alias("v"), F.col("first.at").alias("at"), "n")
+    # Where texts of one id differ elsewhere, a class may have its first snippet in several of them: each has edges.
+    several = keep(rows.groupBy("doc_id").agg(F.min("v").alias("low"), F.max("v").alias("high")).where("low <> high").select("doc_id"), "several")
+    if not several.isEmpty():
+        tied = rows.join(several, "doc_id", "left_semi").join(firsts.hint("shuffle_hash"), ["anchor", "s1", "s2"]).where("doc_id = first.doc_id AND at = first.at AND v <> first.v")
+        earliest = earliest.unionByName(tied.select("anchor", "doc_id", "v", "at", "n").distinct())
     asked = (
-        classes.join(kinds.hint("shuffle_hash"), "anchor")
-        .select(F.col("first.doc_id").alias("doc_id"), F.struct("anchor", "first.at", "n", (F.col("kinds") > MANY).alias("many")).alias("one"))
-        .groupBy("doc_id")
+        earliest.join(kinds.hint("shuffle_hash"), "anchor")
+        .select("doc_id", "v", F.struct("anchor", "at", "n", (F.col("kinds") > MANY).alias("many")).alias("one"))
+        .groupBy("doc_id", "v")
         .agg(F.collect_list("one").alias("asked"))
     )
     edges = keep(
-        texts.join(asked.hint("shuffle_hash"), "doc_id").mapInPandas(lambda p: _cut(p, length), "anchor long, doc_id long, at int, many boolean, own binary"), "edges"
+        texts.join(asked.hint("shuffle_hash"), ["doc_id", "v"]).mapInPandas(lambda p: _cut(p, length), "anchor long, doc_id long, v long, at int, many boolean, own binary"), "edges"
     )
     indexed = edges.where("NOT many").repartition("anchor").sortWithinPartitions("anchor").mapInPandas(lambda p: _indexed(p, length), _MARKS)
     buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     single = keep(edges.where("many").mapInPandas(lambda p: _strings(p, length, buckets), f"{_MARKS}, bucket int, packed binary"), "strings")
     met = single.where("bucket >= 0").repartition(buckets, "bucket").mapInPandas(lambda p: _met(p, length), _MARKS)
-    return copies.unionByName(indexed).unionByName(single.where("bucket < 0").select("doc_id", "s", "e")).unionByName(met)
+    return copies.unionByName(indexed).unionByName(single.where("bucket < 0").select("doc_id", "v", "s", "e")).unionByName(met)
 
 
 def union(spans: list, n: int) -> list[tuple[int, int]]:
@@ -261,15 +283,16 @@ def union(spans: list, n: int) -> list[tuple[int, int]]:
 
 
 def _with_spans(docs: DataFrame, length: int, name: str = "spans_") -> DataFrame:
-    marks = repeat_marks(docs, length).groupBy("doc_id").agg(F.collect_list(F.struct("s", "e")).alias(name))
-    return docs.join(keep(marks, "marks").hint("shuffle_hash"), "doc_id", "left")
+    v = name + "v"
+    marks = repeat_marks(docs, length).withColumnRenamed("v", v).groupBy("doc_id", v).agg(F.collect_set(F.struct("s", "e")).alias(name))
+    return docs.withColumn(v, _digest("text")).join(keep(marks, "marks").hint("shuffle_hash"), ["doc_id", v], "left")
 
 
 def removed(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, for every row of docs.
 
-    A null text is empty, and one under length bytes loses nothing. Ids are taken as distinct: rows of an equal id share their
-    spans, each within its own text. Rows with a null id take no part and lose nothing. No rows give no rows; further columns
+    A null text is empty, and one under length bytes loses nothing. Rows of an equal id and text are one document, and both keep
+    what it keeps; texts of one id that differ have spans of their own, and none is earlier at the same byte. Rows with a null id take no part and lose nothing. No rows give no rows; further columns
     are ignored.
     """
 

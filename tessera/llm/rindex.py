@@ -96,8 +96,11 @@ def _common(levels: list[tuple[int, np.ndarray]], text: np.ndarray, p: np.ndarra
     return out
 
 
-def repeated(strings: list[bytes], length: int) -> np.ndarray:
-    """Of each position of codes(strings), whether a string of so many bytes begins there that also begins earlier, neither running over its string's end."""
+def repeated(strings: list[bytes], length: int, places: np.ndarray | None = None) -> np.ndarray:
+    """Of each position of codes(strings), whether a string of so many bytes begins there that also begins earlier, neither running over its string's end.
+
+    Earlier is by places, one a position, if given; equal places are not earlier than each other.
+    """
     text, starts = codes(strings)
     phi, common = build(text).statistics()
     n = len(text)
@@ -110,6 +113,7 @@ def repeated(strings: list[bytes], length: int) -> np.ndarray:
         if (further == root).all():
             break
         root = further
-    least = np.arange(n)
-    np.minimum.at(least, root, np.arange(n))
-    return (room >= length) & (least[root] < np.arange(n))
+    places = np.arange(n) if places is None else places
+    least = places.copy()
+    np.minimum.at(least, root, places)
+    return (room >= length) & (least[root] < places)

@@ -216,3 +216,30 @@ def test_network_gradients():
             down = loss()
             w[place] = old
             assert abs((up - down) / 2e-2 - g[place]) < 2e-3
+
+
+@pytest.mark.parametrize("many", [256, 2])
+def test_repeats_of_repeated_rows_and_ids(spark, rows, many, monkeypatch):
+    monkeypatch.setattr(repeats, "MANY", many)
+    draw = random.Random(12)
+    passage, tail = words(draw, 60), words(draw, 60)
+    once, other = words(draw, 50) + passage + words(draw, 20), words(draw, 50) + tail
+    # The passage stands in three contexts, the first of them in a repeated row; id 51 has three texts, two of them alike at first.
+    data = [*rows, rows[0], (50, once), (50, once), (60, words(draw, 9) + passage), (61, words(draw, 5) + passage + words(draw, 7))]
+    data += [(51, other), (51, other + words(draw, 30)), (51, words(draw, 80)), (51, other), (40, words(draw, 8) + tail[:150]), (62, tail)]
+    first = {}
+    for i, t in data:
+        raw = (t or "").encode()
+        for p in range(len(raw) - 99):
+            first[raw[p : p + 100]] = min(first.get(raw[p : p + 100], (i, p)), (i, p))
+    want = []
+    for i, t in data:
+        raw = (t or "").encode()
+        gone = bytearray(len(raw))
+        for p in range(len(raw) - 99):
+            if first[raw[p : p + 100]] < (i, p):
+                gone[p : p + 100] = b"\1" * 100
+        want.append((i, len(raw), sum(gone), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(bytes(b for b, g in zip(raw, gone, strict=True) if not g)).hexdigest()))
+    got = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.removed(table(spark, data)).collect()]
+    assert sorted(got) == sorted(want)
+    assert [w[2] for w in want if w[0] == 50] == [0, 0] and {w[2] > 0 for w in want if w[0] == 51} == {True, False}
