@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.llm import minhash, packing, repeats, secrets, toxicity
 from tessera.llm.scratch import keep
@@ -17,14 +18,25 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document of least id stays, and all rows without an id."""
-    gone = minhash.near_duplicates(docs, WORDS, PERCENT).where("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of near-duplicates one row stays: that of least id, rows without an id last, and of equal ones the first read."""
+    key = "key_" + "_" * max(map(len, docs.columns))  # longer than any name that is there
+    rows = keep(docs.withColumn(key, F.monotonically_increasing_id()), "rows")
+    found = keep(minhash.near_duplicates(rows, WORDS, PERCENT, id_col=key).select(F.col("doc_id").alias(key), "component_id"), "components")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(key).alias("key")).alias("place")
+    least = found.join(rows.select(key, place).hint("shuffle_hash"), key).groupBy("component_id").agg(F.min("place").alias("place"))
+    gone = keep(found.join(least.select(F.col("place.key").alias(key)).hint("shuffle_hash"), key, "left_anti").select(key), "gone")
+    return rows.join(gone, key, "left_anti").select(*docs.columns)
 
 
 def repeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that an earlier document, or the same one before, has are cut from the texts; no document goes."""
-    return repeats.without_repeats(docs)
+    """Passages that an earlier document, or the same one before, has are cut from the texts; no document goes.
+
+    A row without an id comes after ids under 2 ** 62, by a digest of its text.
+    """
+    kept_id = "id_" + "_" * max(map(len, docs.columns))
+    late = F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64("text"), 2)
+    keyed = docs.withColumn(kept_id, F.col("doc_id")).withColumn("doc_id", F.coalesce(F.col("doc_id").cast("long"), late))
+    return repeats.without_repeats(keyed).withColumn("doc_id", F.col(kept_id)).select(*docs.columns)
 
 
 def secret(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

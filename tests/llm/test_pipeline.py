@@ -25,3 +25,16 @@ def test_stages(spark, tmp_path):
     assert not any("hunter2x" in (r.text or "") for r in kept.collect())
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == ids
     assert {"pipeline", "op1_minhash", "op10_ann"} <= set(__spark_entry__.queries())
+
+
+def test_near_duplicates_and_repeats_go_by_row(spark, tmp_path):
+    draw = random.Random(6)
+    a, b, c, d = (" ".join("".join(draw.choice("abcde") for _ in range(5)) for _ in range(60)) for _ in range(4))
+    rows = [(7, a), (7, b), (3, a), (3, a), (None, a), (None, c), (None, c), (9, None), (9, None), (None, d + " " + b[:200])]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.near(spark, docs, "").cache()
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(7, b), (3, a), (None, c), (9, None), (9, None), rows[-1]], key=str)
+    cut = corpus_pipeline.repeated(spark, kept, "")
+    assert cut.schema == docs.schema
+    assert sorted(((r.doc_id, r.text) for r in cut.collect()), key=str) == sorted([(7, b), (3, a), (None, c), (9, None), (9, None), (None, d + " ")], key=str)
