@@ -27,9 +27,9 @@ LEAST_BITS = {"hex": 3.0, "lower": 4.1, "alnum": 3.8, "base64": 3.9}
 ALLOWED = re.compile(
     r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"
     r"|[0-9+/_=-]+"
-    r"|(?:[A-Za-z]?[a-z]*|[A-Z]*|[0-9]{0,4})(?:[+/_=-]+(?:[A-Za-z]?[a-z]*|[A-Z]*|[0-9]{0,4}))*"
+    r"|[+/_=-]*+(?:(?:[A-Za-z][a-z]*|[A-Z]{2,}|[0-9]{1,4})(?:[+/_=-]++|\Z))*+"  # every token in one way, and none taken back: linear
 )
-_LOG = [0.0] + [c * __import__("math").log2(c) for c in range(1, WINDOW + 1)]
+_LOG = [0.0] + [c * __import__("math").log2(c) for c in range(1, WINDOW + 2)]  # a character comes before the oldest goes
 
 
 def _class(window: str) -> str:

@@ -1,9 +1,13 @@
 """Operators on texts against brute force: nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns."""
 
 import hashlib
+import os
 import random
 import re
+import subprocess
+import sys
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -243,3 +247,14 @@ def test_repeats_of_repeated_rows_and_ids(spark, rows, many, monkeypatch):
     got = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.removed(table(spark, data)).collect()]
     assert sorted(got) == sorted(want)
     assert [w[2] for w in want if w[0] == 50] == [0, 0] and {w[2] > 0 for w in want if w[0] == 51} == {True, False}
+
+
+def test_allow_list_takes_long_runs_of_marks_in_linear_time():
+    code = """
+from tessera.llm import secrets
+for text in ("=" * 16 + "Rev2", "-" * 3000 + "Rev2", "-=" * 40 + "Rev2" + "_" * 40 + "x9", "A-" * 40 + "Rev2", "ab-" * 2000 + "Rev2"):
+    secrets.entropy_spans(text)
+assert secrets.entropy_spans("-" * 40 + "q9Zr7Lk2Xw8Tb4Mn6Vc1Pd3") and not secrets.entropy_spans("--Some/WORDS_and-2024=x" + "-" * 40)
+"""
+    root = str(Path(secrets.__file__).resolve().parents[2])
+    subprocess.run([sys.executable, "-c", code], cwd=root, env=os.environ | {"PYTHONPATH": f"{root}:{os.environ.get('PYTHONPATH', '')}"}, timeout=60, check=True)
