@@ -46,7 +46,7 @@ def secret(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all texts and their places in sequences."""
-    return packing.pack_documents(docs)
+    return packing.pack_documents(docs, added=True)
 
 
 STAGES = [("toxicity", toxic), ("near-duplicates", near), ("repeats", repeated), ("secrets", secret), ("packing", packed)]

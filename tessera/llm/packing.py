@@ -33,11 +33,15 @@ def encoding(path: str) -> tiktoken.Encoding:
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         letters = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(x for x in range(256) if x not in plain)}
         with open(path, encoding="utf-8") as f:
-            vocab = json.load(f)["model"]["vocab"]
+            own = json.load(f)
+        vocab = own["model"]["vocab"]
+        if any(a["single_word"] or a["lstrip"] or a["rstrip"] or a["normalized"] for a in own["added_tokens"]):
+            raise ValueError("added tokens that depend on what stands around them")
+        added = {a["content"]: a["id"] for a in own["added_tokens"]}
         ranks = {bytes(letters[c] for c in word): i for word, i in vocab.items() if all(c in letters for c in word)}
-        # An added token is written in plain letters; it is no product of merges, and texts never get it.
-        ranks = {word: i for word, i in ranks.items() if word != b"<|endoftext|>"}
-        _encodings[path] = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        # An added token is written in plain letters; it is no product of merges.
+        ranks = {word: i for word, i in ranks.items() if word not in {a.encode() for a in added}}
+        _encodings[path] = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
     return _encodings[path]
 
 
@@ -92,16 +96,18 @@ def pack(lengths: np.ndarray, length: int = LENGTH, most_open: int = OPEN) -> tu
 
 
 def pack_documents(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, end: int = END, most_open: int = OPEN, vocabulary: str = "byte_bpe_50k.json"
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, end: int = END, most_open: int = OPEN, vocabulary: str = "byte_bpe_50k.json", added: bool = False
 ) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: one row per piece.
 
     A null or empty text is the end id alone; repeated rows are packed as they come; no rows give no rows; further columns
-    are ignored. Sequence ids are distinct over the table: the task's number, then a count.
+    are ignored. Sequence ids are distinct over the table: the task's number, then a count. With added, the vocabulary's added
+    tokens get their own ids where they stand in texts, as the library does by default; without, they are texts like others.
     """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = encoding(public_tokenizers.path(vocabulary))
+        allowed = enc.special_tokens_set if added else set()
         next_id, held, n_held = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40, [], 0
 
         def flush() -> pd.DataFrame:
@@ -115,7 +121,7 @@ def pack_documents(
 
         for part in parts:
             for doc, text in zip(part["doc_id"].astype("Int64"), part["text"], strict=True):
-                ids = np.append(np.asarray(enc.encode_to_numpy(text or "", disallowed_special=()), dtype="<u4"), np.array([end], "<u4"))
+                ids = np.append(np.asarray(enc.encode_to_numpy(text or "", allowed_special=allowed, disallowed_special=()), dtype="<u4"), np.array([end], "<u4"))
                 for k, (start, n) in enumerate(cut(len(ids), length)):
                     held.append((None if doc is pd.NA else int(doc), k, start, n, zlib.crc32(ids[start : start + n].tobytes())))
                 if len(held) >= GROUP:

@@ -38,7 +38,7 @@ def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(_table(spark, sf_dir, "documents"))
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), added=True)
 
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

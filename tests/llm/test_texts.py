@@ -258,3 +258,18 @@ assert secrets.entropy_spans("-" * 40 + "q9Zr7Lk2Xw8Tb4Mn6Vc1Pd3") and not secre
 """
     root = str(Path(secrets.__file__).resolve().parents[2])
     subprocess.run([sys.executable, "-c", code], cwd=root, env=os.environ | {"PYTHONPATH": f"{root}:{os.environ.get('PYTHONPATH', '')}"}, timeout=60, check=True)
+
+
+def test_packing_gives_added_tokens_as_the_library_does(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    from tessera.llm import queries
+
+    own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    data = [(1, "a <|endoftext|> text"), (2, "<|endoftext|><|endoftext|>"), (3, "x  <|endoftext|>\n\n y"), (4, "<|endoftext|"), (5, None), (6, "one  <|endoftext|>  " * 700)]
+    table(spark, data).write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op6_packing(spark, str(tmp_path)).collect()
+    for i, t in data:
+        ids = np.array([*own.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
+        mine = sorted((r for r in got if r.doc_id == i), key=lambda r: r.piece)
+        assert sum(r.length for r in mine) == len(ids) and all(r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length].tobytes()) for r in mine)
