@@ -22,13 +22,17 @@ KINDS = ("assign", "access", "hex", "entropy")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 WINDOW = 20
 #: Bits per character that a window must reach, by the class of the characters in it (a window of 20 has 4.32 at most).
-LEAST_BITS = {"hex": 3.0, "lower": 4.1, "alnum": 3.8, "base64": 3.9}
+LEAST_BITS = {"hex": 3.0, "lower": 3.45, "alnum": 3.8, "base64": 3.9}
+#: Runs of letters up to so many pass for words; longer ones are judged by their vowels and consonants.
+SHORT_WORD, MOST_CONSONANTS, LEAST_VOWELS = 12, 6, 0.25
 #: Candidates of these forms are no secrets: unique ids, dates and numbers, paths and words joined by marks.
 ALLOWED = re.compile(
     r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"
     r"|[0-9+/_=-]+"
     r"|[+/_=-]*+(?:(?:[A-Za-z][a-z]*|[A-Z]{2,}|[0-9]{1,4})(?:[+/_=-]++|\Z))*+"  # every token in one way, and none taken back: linear
 )
+_CONSONANTS = re.compile(r"[b-df-hj-np-tv-xzB-DF-HJ-NP-TV-XZ]+")
+_LETTERS = re.compile(r"[A-Za-z]+")
 _LOG = [0.0] + [c * __import__("math").log2(c) for c in range(1, WINDOW + 2)]  # a character comes before the oldest goes
 
 
@@ -40,13 +44,26 @@ def _class(window: str) -> str:
     return "alnum" if window.isalnum() else "base64"
 
 
+def _like_word(letters: str) -> bool:
+    """Whether a run of letters may be a word: short, or with vowels often enough and no long row of consonants (y is neither)."""
+    if len(letters) <= SHORT_WORD:
+        return True
+    rows = _CONSONANTS.findall(letters)
+    return max(map(len, rows), default=0) <= MOST_CONSONANTS and len(letters) - sum(map(len, rows)) >= LEAST_VOWELS * len(letters)
+
+
+def allowed(run: str) -> bool:
+    """Whether the allow-list takes the candidate: a form of ALLOWED, whose longer runs of letters are like words."""
+    return ALLOWED.fullmatch(run) is not None and all(map(_like_word, _LETTERS.findall(run)))
+
+
 def entropy_spans(text: str) -> list[tuple[int, int]]:
     """Maximal unions of windows that reach their class's entropy, in candidates that the allow-list does not suppress."""
     out: list[tuple[int, int]] = []
     top = 4.33 * WINDOW
     for m in CANDIDATE.finditer(text):
         run, base = m[0], m.start()
-        if ALLOWED.fullmatch(run):
+        if allowed(run):
             continue
         counts: dict[str, int] = {}
         weighed, begin, end = 0.0, -1, -1
@@ -85,8 +102,13 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def all_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """The base spans, and all: those of the entropy scan that no base span holds are added."""
-    base = base_spans(text)
-    more = [(a, 3, b) for a, b in entropy_spans(text) if not any(s <= a and b <= e for s, _, e in base)]
+    base, more, at, reach = base_spans(text), [], 0, -1
+    for a, b in entropy_spans(text):  # both are in order: one sweep
+        while at < len(base) and base[at][0] <= a:
+            reach = max(reach, base[at][2])
+            at += 1
+        if b > reach:
+            more.append((a, 3, b))
     return base, sorted(base + more)
 
 
@@ -122,7 +144,9 @@ def _scan(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, for every row of docs, by whole texts and with no shuffle.
 
-    A null text is empty; repeated rows are scanned as they come; no rows give no rows; further columns are ignored.
+    A null text is empty; a text of any length is scanned whole, in time that grows with its length; repeated rows are scanned as
+    they come, so ties cannot arise; rows with a null id are scanned like others; no rows give no rows; further columns, of
+    whatever names, are ignored.
     """
     return docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).mapInPandas(
         _scan, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
@@ -130,7 +154,11 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def redact_secrets(docs: DataFrame) -> DataFrame:
-    """docs with every span in text replaced by a mark, and n_chars, if there, made to fit; null texts stay null."""
+    """docs with every span in text replaced by a mark, and n_chars, if there, made to fit.
+
+    Null texts stay null, empty ones empty; texts of any length are redacted whole; rows, repeated ones too, all stay; no rows
+    give no rows; other columns pass as they are.
+    """
     own = F.pandas_udf(lambda texts: texts.map(lambda t: t if t is None else redact(t)), "string")
     out = docs.withColumn("text", own(F.col("text")))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

@@ -77,32 +77,78 @@ def test_pretokens_cut_like_the_library():
         assert [i for w in find(t) for i in enc._core_bpe.encode_single_piece(w.encode())] == enc.encode_ordinary(t)
 
 
+def best_fit(lengths, most, length=1024):
+    """Bounded-space best-fit on plain lists: (bin, offset) of each length, and the bins that are open at the end."""
+    fill, still, out = [], [], []
+    for n in lengths:
+        fits = [b for b in still if fill[b] + n <= length]
+        if fits:
+            own = max(fits, key=lambda b: fill[b])
+        else:
+            own = len(fill)
+            fill.append(0)
+        out.append((fill[own], n))
+        before, fill[own] = fill[own], fill[own] + n
+        if own in still:
+            still.remove(own)
+        if fill[own] < length:
+            if len(still) == most:
+                still.remove(max(still, key=lambda b: fill[b]))
+            still.append(own)
+    return out, sorted(fill), sorted(fill[b] for b in still)
+
+
 def test_packing(spark, rows):
     from tokenizers import Tokenizer
 
     own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    own.encode_special_tokens = True
-    data = [*rows, (99, "<|endoftext|> text")]
-    got = packing.pack_documents(table(spark, data)).collect()
+    data = [*rows, (99, "<|endoftext|> text"), (None, "no id"), (3, "again")]
+    got = packing.pack_documents(table(spark, data).repartition(3), added=True).collect()
+    want = sorted(([zlib.crc32(np.array([*own.encode(t or "", add_special_tokens=False).ids, 2], "<u4").tobytes()), i] for i, t in data), key=str)
     for i, t in data:
         ids = np.array([*own.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
         mine = sorted((r for r in got if r.doc_id == i), key=lambda r: r.piece)
+        if i == 3:
+            continue
         assert [r.start for r in mine] == [0, *np.cumsum([r.length for r in mine])[:-1]] and sum(r.length for r in mine) == len(ids)
         assert all(r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length].tobytes()) for r in mine) and all(r.length == 1024 for r in mine[1:])
+    assert {tuple(w) for w in want if w[1] == 3} == {(r.ids_crc32, 3) for r in got if r.doc_id == 3}
     for s in {r.sequence_id for r in got}:
         mine = sorted((r for r in got if r.sequence_id == s), key=lambda r: r.offset)
         assert [r.offset for r in mine] == [0, *np.cumsum([r.length for r in mine])[:-1]] and sum(r.length for r in mine) <= 1024
     assert packing.pack_documents(table(spark, rows).limit(0)).count() == 0
 
 
-def test_bins_fill_well_and_stay_bounded():
-    lengths = np.random.default_rng(2).integers(1, 1025, 5000)
-    own, at, made = packing.pack(lengths)
-    assert made <= 1.01 * np.ceil(lengths.sum() / 1024)
-    bins = packing.Bins(1024, 4)
-    for n in lengths.tolist():
-        bins.place(n)
-        assert bins.open <= 4 and bin(bins.bits).count("1") <= 4
+def test_bins_like_brute_force():
+    lengths = np.random.default_rng(2).integers(1, 1025, 3000).tolist()
+    for most in (1, 4, 64, 2048):
+        bins, out = packing.Bins(1024, most), []
+        fill: dict[int, int] = {}
+        for n in lengths:
+            own, at = bins.place(n)
+            assert fill.get(own, 0) == at and bins.open <= most and bin(bins.bits).count("1") <= most
+            fill[own] = at + n
+            out.append((at, n))
+        want, filled, _ = best_fit(lengths, most)
+        assert out == want and sorted(fill.values()) == filled and bins.made == len(filled)
+        assert most > 4 or bins.closed and any(fill[b] < 1024 for b in bins.closed)
+
+
+def test_packing_hands_on_what_stands_in_the_last_bins(spark, monkeypatch):
+    monkeypatch.setattr(packing, "FAN", 2)
+    monkeypatch.setattr(packing, "BATCH", 3)
+    data = [(i, "word " * (40 + 61 * (i % 13))) for i in range(60)]
+    for parts in (1, 12):
+        got = packing.pack_documents(table(spark, data).repartition(parts), most_open=4 if parts == 1 else 2048).collect()
+        fill: dict[int, list] = {}
+        for r in got:
+            fill.setdefault(r.sequence_id, []).append((r.offset, r.length))
+        for places in fill.values():
+            places.sort()
+            assert [o for o, _ in places] == [0, *np.cumsum([n for _, n in places])[:-1]] and sum(n for _, n in places) <= 1024
+        assert sorted((r.doc_id, r.piece) for r in got) == [(i, 0) for i in range(60)]
+        if parts == 12:  # as few as one task would make, whatever number of tasks there were
+            assert len(fill) <= -(-sum(r.length for r in got) // 1024) + 1
 
 
 def test_secrets():
@@ -273,3 +319,58 @@ def test_packing_gives_added_tokens_as_the_library_does(spark, tmp_path):
         ids = np.array([*own.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
         mine = sorted((r for r in got if r.doc_id == i), key=lambda r: r.piece)
         assert sum(r.length for r in mine) == len(ids) and all(r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length].tobytes()) for r in mine)
+
+
+def plain_spans(text):
+    """The contract's patterns, and windows of 20 whose entropy is summed up afresh each time."""
+    base = []
+    for m in re.finditer(r"""(?i:(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([a-z0-9+/_.=-]+))""", text, re.ASCII):
+        base += [(m.start(), "assign", m.end())] if len(m[2]) >= 6 else []
+    base += [(m.start(), "access", m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    base += [(m.start(), "hex", m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+    more = []
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]+", text):
+        if len(m[0]) < 20 or secrets.allowed(m[0]):
+            continue
+        hot = set()
+        for i in range(len(m[0]) - 19):
+            w = m[0][i : i + 20]
+            bits = -sum(w.count(c) / 20 * np.log2(w.count(c) / 20) for c in set(w))
+            kind = "hex" if set(w) <= set("0123456789abcdef") or set(w) <= set("0123456789ABCDEF") else "lower" if w.isalpha() and w in (w.lower(), w.upper()) else "alnum" if w.isalnum() else "base64"
+            hot |= set(range(m.start() + i, m.start() + i + 20)) if bits >= secrets.LEAST_BITS[kind] - 1e-9 else set()
+        at = sorted(hot)
+        first = [p for p in at if p - 1 not in hot]
+        last = [p + 1 for p in at if p + 1 not in hot]
+        more += [(s, "entropy", e) for s, e in zip(first, last, strict=True) if not any(a <= s and e <= b for a, _, b in base)]
+    order = ["assign", "access", "hex", "entropy"]
+    key = lambda x: (x[0], order.index(x[1]))
+    tell = lambda spans: ",".join(f"{k}:{s}:{e}" for s, k, e in sorted(spans, key=key))
+    return tell(base), tell(base + more)
+
+
+def test_secrets_like_brute_force():
+    draw = random.Random(21)
+    marks = ["password", "Token", "api_key", "APIKEY", "=", ":", '"', " ", "AKIA", "-", "_", "/", "\n", "é", "ſecret", "secret", ".", "==", "\u212a"]
+    pools = ["0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "abcdefghijklmnopqrstuvwxyz", "abcABC019+/_=-", "ab"]
+    for _ in range(500):
+        t = "".join(draw.choice(marks) if draw.random() < 0.5 else "".join(draw.choice(draw.choice(pools)) for _ in range(draw.randint(1, 40))) for _ in range(draw.randint(0, 12)))
+        base, every = secrets.all_spans(t)
+        assert (secrets._told(base), secrets._told(every)) == plain_spans(t)
+
+
+def test_secrets_take_keys_of_one_case_and_many_spans():
+    draw = random.Random(22)
+    for pool in ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"):
+        found = sum(bool(secrets.all_spans("see " + "".join(draw.choice(pool) for _ in range(32)) + " there")[1]) for _ in range(200))
+        assert found > 140
+    for calm in ("internationalizationconference", "donaudampfschiffahrtsgesellschaft", "some-words-joined-by-marks-here-and-there"):
+        assert secrets.all_spans(calm)[1] == []
+    import time
+
+    long = "password=abcdefg q9Zr7Lk2Xw8Tb4Mn6Vc1Pd3 " * 20_000 + "=" * 10_000 + "Section1Title"
+    start = time.perf_counter()
+    assert len(secrets.all_spans(long)[1]) == 40_000 and time.perf_counter() - start < 30
+
+
+def test_secrets_of_an_empty_table(spark):
+    assert secrets.scan_secrets(table(spark, []).limit(0)).count() == 0 and secrets.redact_secrets(table(spark, []).limit(0)).count() == 0
