@@ -37,14 +37,17 @@ def held_out(key):
 def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
     """doc_id, text and label (0 or 1) of at most so many rows of labels that are not held out, drawn by a hash of the id.
 
-    The draw has a fixed bound, so it is broadcast; documents are not shuffled. Of an id with several labels the least holds.
+    The draw has a fixed bound, so it is broadcast, and only drawn documents are shuffled. Of an id with several labels the least
+    holds, of one with several texts that of the least hash: so what comes to the driver has the bound too, however often an id
+    is repeated.
     """
     known = (
         labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out(F.col("doc_id")))
         .groupBy("doc_id")
         .agg(F.min(label).cast("int").alias("label"))
     )
-    return docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(drawn(known, "doc_id", most)), "doc_id")
+    found = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(drawn(known, "doc_id", most)), "doc_id")
+    return found.groupBy("doc_id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"), F.min("label").alias("label"))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -165,8 +168,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int
 def score_quality(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score, predicted, for every row of docs, by whole texts and with no shuffle.
 
-    A null text is empty; an empty text has no n-grams and gets the score of the bias; repeated rows are scored as they come;
-    no rows give no rows; further columns are ignored.
+    A null text is empty; an empty text has no n-grams and gets the score of the bias; a text of any length is scored whole, and
+    a very long one by itself; repeated rows are scored as they come and equal texts alike, so ties are no question; a row with a
+    null id is scored too; no rows give no rows; further columns, of whatever names, are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -1,7 +1,8 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, in numpy, over character and word inputs.
 
 A word's input is the mean of its character n-grams' vectors beside a vector of its own. Windows of WINDOW words that overlap
-by half go through the network; attention pools each, and a document scores as its highest window. Training sees only
+by half go through the network (a word of over LONG letters counts as its overlapping pieces); attention pools each, and a
+document scores as its highest window. Training sees only
 documents' labels: each pass picks every document's highest window and learns from it. The network is fitted on a bounded
 sample of labelled rows (MOST_LABELLED of up to MOST_CHARS characters, drawn by a hash of the id); every row is scored, whole.
 """
@@ -25,11 +26,13 @@ WINDOW, STEP = 32, 16
 BUCKETS = 1 << 15
 EACH = 8  # width of either input, and of the state of either direction
 MOST_LABELLED = 3000
-MOST_CHARS = 100_000
+MOST_CHARS = 32_000
 #: Documents of a step, and steps of a fit; the passes over the sample follow from them.
 STEP_DOCS, STEPS = 64, 300
 #: Windows that go through the network together.
 BATCH = 4096
+#: Letters from which on a word is cut into pieces of PIECE letters that overlap by half.
+LONG, PIECE = 48, 32
 _WORD = re.compile(r"\w+")
 
 
@@ -130,6 +133,8 @@ def coded(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[str]]:
     parts = []
     for t in texts:
         found = _WORD.findall((t or "").lower())
+        if any(len(w) > LONG for w in found):
+            found = [p for w in found for p in ([w] if len(w) <= LONG else [w[i : i + PIECE] for i in range(0, len(w) - PIECE // 2, PIECE // 2)])]
         parts.append(np.fromiter((known.setdefault(w, len(known)) for w in found), np.int64, len(found)))
     return np.concatenate([np.zeros(0, np.int64), *parts]), np.array([len(x) for x in parts], np.int64), list(known)
 
@@ -158,7 +163,11 @@ def leaning(rows: Iterable[np.ndarray], y: np.ndarray) -> np.ndarray:
 
 
 def fit(texts: list[str], y: np.ndarray, steps: int = STEPS, seed: int = 11) -> Network:
-    """A network for these texts and labels. With no texts, or one label only, every text's score is that label's share."""
+    """A network for these texts and labels.
+
+    With no texts that hold words, or one label only among those that do, every text with words scores that label's share. Texts
+    without words teach nothing and score 0.
+    """
     draw = np.random.default_rng(seed)
     f = np.float32
     net = Network(
@@ -170,7 +179,10 @@ def fit(texts: list[str], y: np.ndarray, steps: int = STEPS, seed: int = 11) ->
         out=(draw.normal(size=2 * EACH + 1) * 0.3).astype(f),
     )
     net.chars[-1] = net.words[-1] = net.out[-1] = 0
-    if len(y) == 0 or y.min() == y.max():
+    y = np.asarray(y, int)
+    worded = np.array([_WORD.search(t or "") is not None for t in texts], bool)
+    if not worded.any() or y[worded].min() == y[worded].max():
+        y = y[worded] if worded.any() else y
         net.out[:] = 0
         share = (y.sum() + 0.5) / (len(y) + 1)
         net.out[-1] = np.log(share / (1 - share))
@@ -181,7 +193,8 @@ def fit(texts: list[str], y: np.ndarray, steps: int = STEPS, seed: int = 11) ->
     bounds = np.append(0, np.cumsum(sizes))
     mine = [np.unique(codes[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
     net.words[:, 0] = 2 * leaning((np.unique(own[m]) for m in mine), y)
-    net.chars[:, 0] = 4 * leaning((np.unique(grams[:, gather(starts[m], ends[m] - starts[m])]) for m in mine), y)
+    none = np.zeros(0, np.int64)
+    net.chars[:, 0] = 4 * leaning((np.unique(grams[:, gather(starts[m], ends[m] - starts[m])]) if len(m) else none for m in mine), y)
     net.chars[-1] = net.words[-1] = 0
     weight = np.where(y == 1, 0.5 * len(y) / y.sum(), 0.5 * len(y) / (len(y) - y.sum()))
     own_sums = [{k: np.zeros_like(getattr(net, k), np.float64) for k in ("into", "back", "look", "out")} for _ in range(2)]
@@ -268,8 +281,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
 def score_toxicity(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score, predicted, for every row of docs, by whole texts and with no shuffle.
 
-    A null text is empty; a text without words scores 0; repeated rows are scored as they come; no rows give no rows; further
-    columns are ignored.
+    A null text is empty; a text without words scores 0; a text of any length is scored whole, and a very long one by itself;
+    repeated rows are scored as they come, and of windows that tie the first holds, which changes no score; a row with a null id
+    is scored too; no rows give no rows; further columns, of whatever names, are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
@@ -286,7 +300,11 @@ def score_toxicity(docs: DataFrame, net: Network, id_col: str = "doc_id", text_c
 
 
 def without_toxic(docs: DataFrame, net: Network) -> DataFrame:
-    """The rows of docs whose text scores below 0.5; by rows, so with no shuffle and whatever their ids."""
+    """The rows of docs whose text scores below 0.5; by rows, so with no shuffle and whatever their ids.
+
+    Null and empty texts, and others without words, score 0 and stay; texts of any length are scored whole; repeated rows go or
+    stay together; no rows give no rows; all columns pass as they are.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
     def own(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:

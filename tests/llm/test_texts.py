@@ -242,6 +242,9 @@ def test_classifiers(spark):
     toxic = {r.doc_id: r.predicted for r in toxicity.score_toxicity(docs, toxicity.train(docs, labels)).collect()}
     held = [i for i in range(240) if zlib.crc32(str(i).encode()) % 5 == 0]
     assert np.mean([toxic[i] == (i % 3 == 0) for i in held]) > 0.9
+    good = {r.doc_id: r for r in quality.score_quality(docs, quality.train(docs, labels)).collect()}
+    assert np.mean([good[i].predicted == (i % 3 != 0) for i in held]) > 0.9
+    assert all(r.predicted == int(r.score >= 0.3) for r in good.values())
     none = labels.limit(0)
     assert toxicity.score_toxicity(docs, toxicity.train(docs, none)).count() == 244 and quality.score_quality(docs.limit(0), quality.train(docs, none)).count() == 0
 
@@ -374,3 +377,74 @@ def test_secrets_take_keys_of_one_case_and_many_spans():
 
 def test_secrets_of_an_empty_table(spark):
     assert secrets.scan_secrets(table(spark, []).limit(0)).count() == 0 and secrets.redact_secrets(table(spark, []).limit(0)).count() == 0
+
+
+def test_network_like_loops():
+    """Scores of a trained network against one written word by word."""
+    draw = random.Random(9)
+    texts = [words(draw, 50) + (" vilewort" if i % 2 else "") for i in range(40)]
+    net = toxicity.fit(texts, np.arange(40) % 2, steps=20)
+    sig = lambda x: 1 / (1 + np.exp(-x))
+
+    def word(w):
+        raw = b"<" + w.encode() + b">"
+        grams = [raw[i : i + k] for i in range(len(raw)) for k in (3, 4, 5) if i + k <= len(raw)]
+        own, table_, starts = toxicity.word_inputs([w])
+        got = table_[table_ < toxicity.BUCKETS]
+        assert len(got) == len(grams)
+        return np.concatenate([net.chars[got].astype(float).sum(0) / max(1, len(got)), net.words[own[0]].astype(float)])
+
+    def window(ws):
+        xs, states = [word(w) for w in ws], np.zeros((len(ws), 2 * toxicity.EACH))
+        for d in range(2):
+            h = np.zeros(toxicity.EACH)
+            for i in range(len(ws)) if d == 0 else reversed(range(len(ws))):
+                g, u = xs[i] @ net.into[d][:-1] + net.into[d][-1], h @ net.back[d]
+                e = toxicity.EACH
+                z, r = sig(g[:e] + u[:e]), sig(g[e : 2 * e] + u[e : 2 * e])
+                c = np.tanh(g[2 * e :] + r * u[2 * e :])
+                h = (1 - z) * c + z * h
+                states[i, d * e : (d + 1) * e] = h
+        a = np.exp(states @ net.look - (states @ net.look).max())
+        return float((a / a.sum()) @ states @ net.out[:-1] + net.out[-1])
+
+    cases = [*texts[:4], "", None, "!!", "one", "x" * 200, words(draw, 90)]
+    for t, got in zip(cases, net.scores(cases), strict=True):
+        ws = [p for w in re.findall(r"\w+", (t or "").lower()) for p in ([w] if len(w) <= 48 else [w[i : i + 32] for i in range(0, len(w) - 16, 16)])]
+        starts = [0]
+        while starts[-1] + 32 < len(ws):
+            starts.append(starts[-1] + 16)
+        want = sig(max(window(ws[s : s + 32]) for s in starts) - net.shift) if ws else 0.0
+        assert abs(got - want) < 1e-4
+
+
+def test_fits_without_words_and_with_repeated_ids(spark):
+    for texts, y in ((["", ""], [0, 1]), (["", "!!"], [0, 1]), (["a", ""], [1, 0]), ([], []), (["a b", "", "c d"], [1, 1, 0])):
+        scores = toxicity.fit(texts, np.array(y, int), steps=3).scores(["", None, "??", "a word"])
+        assert max(scores[:3]) < 1e-9 and 0 < scores[3] < 1
+    docs = table(spark, [(1, f"text {i}") for i in range(50)] + [(2, "other"), (None, "none")])
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 1), (7, 1), (None, 1)], "doc_id long, toxic int")
+    got = quality.labelled(docs, labels, "toxic", 10).collect()
+    assert sorted((r.doc_id, r.label) for r in got) == [(i, int(i == 2)) for i in (1, 2) if zlib.crc32(str(i).encode()) % 5]
+
+
+def test_quality_fit_like_primal_descent():
+    """The dual solution against plain gradient steps on the same squared hinge loss."""
+    draw = np.random.default_rng(3)
+    rows_ = [np.unique(draw.integers(0, 40, 12)) for _ in range(60)]
+    y = np.array([int(r[0] % 3 == 0) for r in rows_])
+    model = quality.fit(rows_, y, passes=400)
+    counts = np.ones((2, quality.FEATURES))
+    for own, label in zip(rows_, y, strict=True):
+        counts[label, own] += 1
+    ratio = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
+    x = np.zeros((60, 41))
+    for i, own in enumerate(rows_):
+        x[i, own] = ratio[own] / len(own) ** 0.5
+    x[:, 40] = 1
+    sign, weight, w = 2.0 * y - 1, np.where(y == 1, 30 / y.sum(), 30 / (60 - y.sum())), np.zeros(41)
+    for _ in range(60000):
+        slack = np.maximum(0, 1 - sign * (x @ w))
+        w -= 0.005 * (w - 2 * x.T @ (weight * slack * sign))
+    mine = np.array([model.weights[own].sum() / len(own) ** 0.5 + model.bias for own in rows_])
+    assert np.abs(mine - x @ w).max() < 0.02
