@@ -14,9 +14,11 @@ _made: list[tuple[SparkSession, str]] = []
 
 
 def folder(spark: SparkSession) -> str:
-    """The shared folder; only where none is set (as in tests) one of our own."""
+    """The shared folder; only where none is set and all runs in one process (as in tests) one of our own."""
     there = spark.conf.get(_SETTING, None) or spark.sparkContext.getConf().get(_SETTING)
     if not there:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError(f"{_SETTING} names no folder that the executors share")
         there = tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set(_SETTING, there)
     return there.rstrip("/")
@@ -48,5 +50,5 @@ def _clean() -> None:
     for spark, path in _made:
         try:
             drop(spark, path)
-        except Exception:  # the session may have ended first
-            return
+        except Exception:  # noqa: S112  the session may have ended first; another's table may still go
+            continue

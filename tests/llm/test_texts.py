@@ -212,23 +212,35 @@ def test_run_index():
 
 
 def test_sharding(spark, rows, tmp_path):
-    data = [*rows, *[(100 + i, "t" * (i % 37)) for i in range(2000)], (None, "x"), (None, None), (100, "again")]
-    got = sharding.shard_documents(table(spark, data)).collect()
-    assert len(got) == len(data)
+    draw = random.Random(14)
+    data = [*rows, *[(100 + i, "t" * (i % 37)) for i in range(3000)], *[(None, "x" * draw.randint(1, 40)) for _ in range(900)], *[(7777, "same")] * 900, (None, None), (100, "again")]
+    maps = str(tmp_path / "maps")
+    got = sharding.shard_documents(table(spark, data).repartition(5), maps=maps, together=100).collect()
     sizes, places = {}, {}
     for r in got:
         sizes[r.shard] = sizes.get(r.shard, 0) + r.size
         places.setdefault(r.shard, []).append(r.slot)
-    assert all(sorted(p) == list(range(len(p))) for p in places.values())
+    assert len(places) == 24 and all(sorted(p) == list(range(len(p))) for p in places.values())
     assert sorted((r.size, r.text_crc32) for r in got) == sorted((len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for _, t in data)
+    assert sorted((r.doc_id for r in got), key=str) == sorted((i for i, _ in data), key=str)
+    # Two texts are larger than a shard's part; the other shards are near equal.
+    rest = sorted(sizes.values())[:-2]
+    assert max(rest) - min(rest) < 0.01 * sum(rest) / len(rest) + 50
     assert sharding.shard_documents(table(spark, rows).limit(0)).count() == 0
-    stats = sharding.slot_sizes(sharding.sized(table(spark, [(i, "t" * (i % 37)) for i in range(2000)])))
-    first = sharding.first_map(stats, 8)
-    sharding.save_map(first, str(tmp_path / "maps"))
-    sharding.save_map(sharding.grown_map(first, 8), str(tmp_path / "maps"))
-    old = {r.vslot: r.shard for r in sharding.load_map(spark, str(tmp_path / "maps"), 1).collect()}
-    new = {r.vslot: r.shard for r in sharding.load_map(spark, str(tmp_path / "maps")).collect()}
-    assert old.keys() == new.keys() and any(s == 8 for s in new.values()) and all(new[k] in (old[k], 8) for k in old)
+    one, two = (sharding.load_map(spark, maps, v) for v in (1, 2))
+    assert sharding.load_map(spark, maps).agg({"version": "max"}).first()[0] == 2
+    key = lambda m: {(r.vslot, r.part): r.shard for r in m.collect()}
+    assert {k[0] for k in key(one)} == set(range(sharding.SLOTS)) and key(one).keys() == key(two).keys()
+    grown = sharding.grown_map(two, 24)
+    sharding.save_map(grown, maps)
+    sharding.save_map(grown, maps)  # a retry
+    old, new = key(two), key(sharding.load_map(spark, maps))
+    assert old.keys() == new.keys() and any(s == 24 for s in new.values()) and all(new[k] in (old[k], 24) for k in old)
+    assert sharding.load_map(spark, maps).count() == len(old)
+    # A stored map takes records that were not there when it was made.
+    stored = sharding.load_map(spark, maps)
+    later = sharding.dealt(sharding.sized(table(spark, [(5000 + i, "y") for i in range(500)])), stored)
+    assert sharding.placed(later, stored).count() == 500
 
 
 def test_classifiers(spark):
