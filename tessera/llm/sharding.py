@@ -65,12 +65,12 @@ def part_sizes(rows: DataFrame, sizes: DataFrame) -> DataFrame:
     return sizes.select("vslot", "part", "parts").join(F.broadcast(_summed(rows, "vslot", "part")), ["vslot", "part"], "left").na.fill(0)
 
 
-#: One step for each slot: it stays where it is while its shard is under the target, or else goes to the least loaded shard, the first of several.
+#: One step for each slot: it stays where it is if its shard is ahead of the least loaded one by less than the slot, or else goes there, to the first of several.
 _BALANCE = """
 aggregate(
   slots,
   named_struct('loads', array_repeat(cast(0 as bigint), {n}), 'shards', cast(array() as array<int>)),
-  (a, s) -> transform(array(if(s.shard is not null and a.loads[s.shard] + s.bytes <= target, s.shard, cast(array_position(a.loads, array_min(a.loads)) - 1 as int))),
+  (a, s) -> transform(array(if(s.shard is not null and a.loads[s.shard] < array_min(a.loads) + s.bytes, s.shard, cast(array_position(a.loads, array_min(a.loads)) - 1 as int))),
     k -> named_struct('loads', transform(a.loads, (x, j) -> if(j = k, x + s.bytes, x)), 'shards', concat(a.shards, array(k))))[0],
   a -> a.shards)
 """
@@ -105,8 +105,8 @@ def first_map(sizes: DataFrame, shards: int) -> DataFrame:
 
 
 def balanced_map(slot_map: DataFrame, shards: int) -> DataFrame:
-    """The next version, in which shards are near equal in bytes: slots from the largest down stay where they are as long as their shard has room, or go to the least loaded."""
-    listed = _listed(slot_map).select((F.col("version") + 1).alias("version"), "slots", F.expr(f"total div {shards}").alias("target"))
+    """The next version, in which shards are near equal in bytes: slots from the largest down stay where they are unless their shard is ahead, or go to the least loaded."""
+    listed = _listed(slot_map).select((F.col("version") + 1).alias("version"), "slots")
     return _mapped(listed, _BALANCE.format(n=shards))
 
 
