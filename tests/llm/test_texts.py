@@ -69,6 +69,26 @@ def test_bpe(spark, rows):
     assert bpe.encode_documents(table(spark, rows).limit(0), path).count() == 0
 
 
+def test_bpe_in_many_blocks(spark, rows, tmp_path, monkeypatch):
+    """Blocks of few characters, buckets, forgotten words, null and repeated ids; a cut that differs the second time is no silent error."""
+    monkeypatch.setattr(bpe, "BLOCK", 500)
+    monkeypatch.setattr(bpe, "KNOWN_BYTES", 400)
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    enc, data = bpe.vocabulary(path), [*rows, rows[8], (None, "one two"), (None, None)]
+    table(spark, data).write.parquet(f"{tmp_path}/docs")
+    got = bpe.decode_documents(bpe.encode_documents(spark.read.parquet(f"{tmp_path}/docs"), path, buckets=3), path).collect()
+    want = sorted(((i, np.array(enc.encode_ordinary(t or ""), "<u4").tobytes(), (t or "").encode()) for i, t in data), key=str)
+    assert sorted(((r.doc_id, bytes(r.ids), bytes(r.data)) for r in got), key=str) == want
+    import pandas as pd
+
+    parts = pd.DataFrame({"part": 0, "doc_id": [1, 2], "text": ["a b c", "d e f"]})
+    one = pd.concat(bpe._blocks(iter([parts]), 3))
+    two = pd.concat(bpe._blocks(iter([parts.iloc[::-1]]), 3))
+    ids = pd.concat(bpe._encoded(iter([two[two["bucket"] >= 0]]), path))
+    with pytest.raises(ValueError):
+        bpe._joined(pd.concat([one[one["bucket"] < 0], ids]), path)
+
+
 def test_pretokens_cut_like_the_library():
     enc, find, draw = bpe.vocabulary(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), bpe.pattern().findall, random.Random(1)
     pool = " \t\n\r\x0b\x1c\x1f\x85\xa0 ​　aZé中½²Ⅷ٣_'sdtm!?́\U0001f642\x00"
