@@ -177,7 +177,7 @@ def _joined(group: pd.DataFrame, path: str) -> pd.DataFrame:
     return pd.DataFrame({"doc_id": pd.array([d for d, _ in rows], "Int64"), "ids": [x for _, x in rows]})
 
 
-def _bytes(docs: DataFrame) -> int:
+def stored_bytes(docs: DataFrame) -> int:
     """The optimizer's estimate of a table's bytes: for files, theirs. Where it knows nothing, as many as fill the session's partitions."""
     known = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return known if known < 1 << 60 else BUCKET_BYTES * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -192,7 +192,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     input partition's rows in their order. That costs time and saves writing the positions to disk; where the second cut differs,
     as it might after a shuffle, the query fails and asks for a written table.
     """
-    n_bytes = _bytes(docs)
+    n_bytes = stored_bytes(docs)
     buckets = buckets or min(MOST_BUCKETS, max(8, n_bytes // BUCKET_BYTES))
     cut = docs.select(F.spark_partition_id().alias("part"), docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).mapInPandas(lambda parts: _blocks(parts, buckets), _ROW)
     words = cut.where("bucket >= 0").select("block", "bucket", "digest", "words", "n_words").repartition(buckets, "bucket")

@@ -2,10 +2,12 @@
 
 A string of LENGTH bytes has one anchor, the least of its GRAM-byte hashes (the first of equals), wherever the string stands;
 strings that follow each other in a document and share their anchor make one snippet. Only snippets of anchors that occur
-twice can hold repeats. Equal snippets are one class, of which all but the earliest are repeats throughout; what differs
-around a shared anchor, at the edges of copies, goes to run-length indexes (rindex), anchor by anchor in blocks of bounded
-size, where matching statistics mark the strings that occur earlier. Anchors with very many different snippets would not fit a
-block: their strings are compared singly, by 128-bit hashes dealt over all partitions.
+twice can hold repeats. Equal snippets are one class (pre-aggregated, by 128-bit digests), of which all but the earliest are
+repeats throughout; what differs around a shared anchor, at the edges of copies, goes to run-length indexes (rindex), anchor by
+anchor in blocks of bounded size, where matching statistics mark the strings that occur earlier. An anchor of more different
+snippets than fit a block is split by a second key, the least of the strings' hashes under another order: its snippets are cut
+again where that key changes, equal cuts are one class, and the rest is indexed by both keys. Only what is still too much for
+a block then, thousands of different snippets of one pair of keys, is cut into single strings, which are classes by themselves.
 
 A string is earlier by (doc_id, first byte); the same doc_id and first byte are not earlier, whatever row they stand in. Texts
 are told apart by doc_id and a digest v, so repeated rows count once and different texts of one id have marks of their own.
@@ -23,16 +25,18 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm import rindex
-from tessera.llm.bpe import gather
+from tessera.llm import rindex, skew
+from tessera.llm.bpe import gather, stored_bytes
 from tessera.llm.quality import chunks
 from tessera.llm.scratch import keep
 
 LENGTH, GRAM = 100, 24
 #: Bytes that are cut into snippets together, and bytes of snippets that are indexed together.
 CHUNK, BLOCK = 1 << 20, 1 << 20
-#: Different snippets of an anchor from which on their strings are compared singly.
-MANY = 256
+#: Different snippets of a key that are indexed together at most, under a block's bytes; beyond, the key is split.
+MANY = 4096
+#: Bytes of kept snippets for a partition that indexes them.
+PART_BYTES = 8 << 20
 
 _U = np.uint64
 _LETTER = np.random.default_rng(60221).integers(0, 1 << 64, 256, dtype=_U)
@@ -50,15 +54,15 @@ def _two(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return z ^ (z >> _U(32))
 
 
-def snippets(data: np.ndarray, sizes: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of documents that stand one after another in data: each snippet's anchor hash, its first byte, and its number of strings."""
+def snippets(data: np.ndarray, sizes: np.ndarray, length: int = LENGTH, order: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of documents that stand one after another in data: each snippet's anchor hash, its first byte, and its number of strings. Other orders give other anchors."""
     n = len(data)
     if n < length:
         return np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, np.int64)
     h = [_LETTER[data]]
     for k in (1, 2, 4, 8):
         h.append(_two(h[-1][:-k], h[-1][k:]))
-    gram = _mix(_two(h[4][: n - GRAM + 1], h[3][16 : 16 + n - GRAM + 1]))
+    gram = _mix(_two(h[4][: n - GRAM + 1], h[3][16 : 16 + n - GRAM + 1]) ^ _U(order))
     low = _U((1 << _PLACES) - 1)
     least = (gram & ~low) | np.arange(len(gram), dtype=_U)
     width, windows = 1, length - GRAM + 1
@@ -99,6 +103,10 @@ def _joined(held: list[tuple[bytes, int, int]]) -> tuple[bytes, np.ndarray, np.n
     return b"".join(h[0] for h in held), np.array([len(h[0]) for h in held]), np.array([h[1] for h in held]), np.array([h[2] for h in held])
 
 
+def _digests(strings: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, strings)), "<i8").reshape(-1, 2)
+
+
 _ANCHORS = "anchor long, s1 long, s2 long, doc_id long, v long, at int, n int"
 
 
@@ -112,8 +120,7 @@ def _anchors(batches: Iterator[pa.RecordBatch], length: int, digest: bool) -> It
                 continue
             columns = [pa.array(anchor.view(np.int64))]
             if digest:
-                got = b"".join([xxhash.xxh3_128_digest(data[s:e]) for s, e in zip(at.tolist(), (at + n - 1 + length).tolist(), strict=True)])
-                both = np.frombuffer(got, "<i8").reshape(-1, 2)
+                both = _digests([data[s:e] for s, e in zip(at.tolist(), (at + n - 1 + length).tolist(), strict=True)])
                 begins = np.cumsum(sizes) - sizes
                 piece = np.searchsorted(begins, at, side="right") - 1
                 place = at - begins[piece] + offset[piece]
@@ -179,48 +186,32 @@ def _indexed(parts: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFram
         yield solve()
 
 
-def _strings(parts: Iterator[pd.DataFrame], length: int, buckets: int) -> Iterator[pd.DataFrame]:
-    """Every string of snippets, packed by the bucket of its hash: rows of two hashes, document, place and digest; of equal ones here the earliest, the later ones marked."""
+def _split(parts: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFrame]:
+    """Snippets cut again by a second key: rows as of _anchors, with both keys as their anchor, and their bytes."""
+    for part in parts:
+        if not len(part):
+            continue
+        strings = part["own"].tolist()
+        sizes = np.array([len(s) for s in strings])
+        begins, data = np.cumsum(sizes) - sizes, b"".join(strings)
+        key, at, n = snippets(np.frombuffer(data, np.uint8), sizes, length, order=0x5851F42D4C957F2D)
+        row = np.searchsorted(begins, at, side="right") - 1
+        own = [data[s:e] for s, e in zip(at.tolist(), (at + n - 1 + length).tolist(), strict=True)]
+        both = _digests(own)
+        anchor = _two(part["anchor"].to_numpy().view(_U)[row], key).view(np.int64)
+        place = part["at"].to_numpy()[row] + at - begins[row]
+        yield pd.DataFrame({"anchor": anchor, "s1": both[:, 0], "s2": both[:, 1], "doc_id": part["doc_id"].to_numpy()[row], "v": part["v"].to_numpy()[row], "at": place, "n": n, "own": own})
+
+
+def _single(parts: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFrame]:
+    """Every string of snippets by itself, as rows of _anchors."""
     for part in parts:
         if not len(part):
             continue
         sizes = part["own"].map(len).to_numpy() - length + 1
-        got = b"".join([xxhash.xxh3_128_digest(s[i : i + length]) for s in part["own"] for i in range(len(s) - length + 1)])
-        rows = np.empty((int(sizes.sum()), 5), "<i8")
-        rows[:, :2] = np.frombuffer(got, "<i8").reshape(-1, 2)
-        rows[:, 2] = np.repeat(part["doc_id"].to_numpy(), sizes)
-        rows[:, 3] = gather(part["at"].to_numpy().astype(np.int64), sizes)
-        rows[:, 4] = np.repeat(part["v"].to_numpy(), sizes)
-        rows, again = _earliest(rows)
-        spans = _spans(again[:, 2], again[:, 4], again[:, 3], length)
-        spans["bucket"], spans["packed"] = -1, None
-        yield spans
-        bucket = (rows[:, 0].view(_U) % _U(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        full = [b for b in range(buckets) if bounds[b] < bounds[b + 1]]
-        yield pd.DataFrame({"doc_id": 0, "v": 0, "s": 0, "e": 0, "bucket": full, "packed": [rows[order[bounds[b] : bounds[b + 1]]].tobytes() for b in full]})
-
-
-def _earliest(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of the rows of each hash the earliest, one of each text that has them at the same place, and all later ones."""
-    rows = rows[np.lexsort((rows[:, 4], rows[:, 3], rows[:, 2], rows[:, 1], rows[:, 0]))]
-    if not len(rows):
-        return rows, rows
-    rows = rows[np.append(True, (rows[1:] != rows[:-1]).any(axis=1))]
-    first = np.append(True, (rows[1:, :2] != rows[:-1, :2]).any(axis=1))
-    least = rows[np.flatnonzero(first)[np.cumsum(first) - 1]]
-    early = (rows[:, 2:4] == least[:, 2:4]).all(axis=1)
-    return rows[early], rows[~early]
-
-
-def _met(parts: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFrame]:
-    """A partition's packed strings: a hash comes once from each batch that has it."""
-    packed = [p for part in parts for p in part["packed"]]
-    if packed:
-        rows = np.frombuffer(b"".join(packed), "<i8").reshape(-1, 5)
-        again = _earliest(rows)[1]
-        yield _spans(again[:, 2], again[:, 4], again[:, 3], length)
+        both = _digests([s[i : i + length] for s in part["own"] for i in range(len(s) - length + 1)])
+        at = gather(part["at"].to_numpy().astype(np.int64), sizes)
+        yield pd.DataFrame({"anchor": both[:, 0], "s1": both[:, 0], "s2": both[:, 1], "doc_id": np.repeat(part["doc_id"].to_numpy(), sizes), "v": np.repeat(part["v"].to_numpy(), sizes), "at": at, "n": 1})
 
 
 _MARKS = "doc_id long, v long, s long, e long"
@@ -230,33 +221,53 @@ def _digest(text: str) -> Column:
     return F.xxhash64(F.col(text))
 
 
+_CLASS = ["anchor", "s1", "s2"]
+
+
+def _classes(rows: DataFrame, name: str, length: int, own: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Classes of equal snippets, each with its first row, and the spans of all other rows.
+
+    Minima are summed up before they are shuffled; a class that holds a large share of all rows is split in the join.
+    """
+    first = [F.min(F.struct("doc_id", "at", "v")).alias("first"), F.max("n").alias("n"), F.count(F.lit(1)).alias("rows")]
+    classes = keep(rows.groupBy(*_CLASS).agg(*first, *([F.first("own").alias("own")] if own else [])), f"{name}-classes")
+    firsts = classes.where("rows > 1").select(*_CLASS, "first", "rows")
+    later = skew.join(rows.select(*_CLASS, "doc_id", "v", "at", "n"), firsts, _CLASS, "rows").where("doc_id <> first.doc_id OR at <> first.at")
+    return classes, later.select("doc_id", "v", F.col("at").cast("long").alias("s"), (F.col("at") + F.col("n") - 1 + length).cast("long").alias("e"))
+
+
+def _edges(rows: DataFrame, classes: DataFrame, several: DataFrame | None, extra: list[str]) -> DataFrame:
+    """The first snippet of each class whose anchor has other classes too, with kinds, the number of these.
+
+    Where texts of one id differ elsewhere, a class may have its first snippet in several of them: each has edges.
+    """
+    kinds = classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    earliest = classes.select("anchor", "first.doc_id", "first.v", "first.at", "n", *extra)
+    if several is not None:
+        firsts = classes.where("rows > 1").select(*_CLASS, "first")
+        tied = rows.join(several, "doc_id", "left_semi").join(firsts.hint("shuffle_hash"), _CLASS).where("doc_id = first.doc_id AND at = first.at AND v <> first.v")
+        earliest = earliest.unionByName(tied.select("anchor", "doc_id", "v", "at", "n", *extra).distinct())
+    return skew.join(earliest, kinds, ["anchor"], "kinds")
+
+
+def _index(edges: DataFrame, length: int) -> DataFrame:
+    """The spans that run-length indexes mark in kept snippets, whose anchors are all of bounded size."""
+    conf = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = min(1 << 17, max(conf, stored_bytes(edges) // PART_BYTES))
+    return edges.repartition(parts, "anchor").sortWithinPartitions("anchor").mapInPandas(lambda p: _indexed(p, length), _MARKS)
+
+
 def repeat_marks(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(doc_id, v, s, e): spans of bytes covered by strings that start earlier too, in no order, overlapping, from documents with an id; v is the text's digest."""
-    spark = docs.sparkSession
     texts = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", _digest("text").alias("v"), "text")
-    again = keep(
-        texts.mapInArrow(lambda b: _anchors(b, length, False), "anchor long").groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "anchors"
-    )
+    again = keep(texts.mapInArrow(lambda b: _anchors(b, length, False), "anchor long").groupBy("anchor").agg(F.count(F.lit(1)).alias("seen")).where("seen > 1"), "anchors")
     every = texts.mapInArrow(lambda b: _anchors(b, length, True), _ANCHORS)
-    rows = keep(every.join(again.hint("shuffle_hash"), "anchor"), "snippets")
-    classes = keep(
-        rows.groupBy("anchor", "s1", "s2").agg(F.min(F.struct("doc_id", "at", "v")).alias("first"), F.max("n").alias("n"), F.count(F.lit(1)).alias("rows")), "classes"
-    )
-    firsts = classes.where("rows > 1").select("anchor", "s1", "s2", "first")
-    copies = (
-        rows.join(firsts.hint("shuffle_hash"), ["anchor", "s1", "s2"])
-        .where("doc_id <> first.doc_id OR at <> first.at")
-        .select("doc_id", "v", F.col("at").cast("long").alias("s"), (F.col("at") + F.col("n") - 1 + length).cast("long").alias("e"))
-    )
-    kinds = classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-    earliest = classes.select("anchor", F.col("first.doc_id").alias("doc_id"), F.col("first.v").alias("v"), F.col("first.at").alias("at"), "n")
-    # Where texts of one id differ elsewhere, a class may have its first snippet in several of them: each has edges.
+    rows = keep(skew.join(every, again, ["anchor"], "seen").drop("seen"), "snippets")
     several = keep(rows.groupBy("doc_id").agg(F.min("v").alias("low"), F.max("v").alias("high")).where("low <> high").select("doc_id"), "several")
-    if not several.isEmpty():
-        tied = rows.join(several, "doc_id", "left_semi").join(firsts.hint("shuffle_hash"), ["anchor", "s1", "s2"]).where("doc_id = first.doc_id AND at = first.at AND v <> first.v")
-        earliest = earliest.unionByName(tied.select("anchor", "doc_id", "v", "at", "n").distinct())
+    several = None if several.isEmpty() else several
+    classes, out = _classes(rows, "snippet", length)
     asked = (
-        earliest.join(kinds.hint("shuffle_hash"), "anchor")
+        _edges(rows, classes, several, [])
         .select("doc_id", "v", F.struct("anchor", "at", "n", (F.col("kinds") > MANY).alias("many")).alias("one"))
         .groupBy("doc_id", "v")
         .agg(F.collect_list("one").alias("asked"))
@@ -264,11 +275,17 @@ def repeat_marks(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     edges = keep(
         texts.join(asked.hint("shuffle_hash"), ["doc_id", "v"]).mapInPandas(lambda p: _cut(p, length), "anchor long, doc_id long, v long, at int, many boolean, own binary"), "edges"
     )
-    indexed = edges.where("NOT many").repartition("anchor").sortWithinPartitions("anchor").mapInPandas(lambda p: _indexed(p, length), _MARKS)
-    buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    single = keep(edges.where("many").mapInPandas(lambda p: _strings(p, length, buckets), f"{_MARKS}, bucket int, packed binary"), "strings")
-    met = single.where("bucket >= 0").repartition(buckets, "bucket").mapInPandas(lambda p: _met(p, length), _MARKS)
-    return copies.unionByName(indexed).unionByName(single.where("bucket < 0").select("doc_id", "v", "s", "e")).unionByName(met)
+    out = out.unionByName(_index(edges.where("NOT many"), length))
+    if edges.where("many").isEmpty():
+        return out
+    rows = keep(edges.where("many").drop_duplicates(["anchor", "doc_id", "v", "at"]).mapInPandas(lambda p: _split(p, length), f"{_ANCHORS}, own binary"), "split")
+    classes, later = _classes(rows, "split", length, own=True)
+    edges = keep(_edges(rows, classes, several, ["own"]), "split-edges")
+    out = out.unionByName(later).unionByName(_index(edges.where(F.col("kinds") <= MANY), length))
+    if edges.where(F.col("kinds") > MANY).isEmpty():
+        return out
+    rows = keep(edges.where(F.col("kinds") > MANY).mapInPandas(lambda p: _single(p, length), _ANCHORS), "strings")
+    return out.unionByName(_classes(rows, "string", length)[1])
 
 
 def union(spans: list, n: int) -> list[tuple[int, int]]:
@@ -291,9 +308,10 @@ def _with_spans(docs: DataFrame, length: int, name: str = "spans_") -> DataFrame
 def removed(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, for every row of docs.
 
-    A null text is empty, and one under length bytes loses nothing. Rows of an equal id and text are one document, and both keep
-    what it keeps; texts of one id that differ have spans of their own, and none is earlier at the same byte. Rows with a null id take no part and lose nothing. No rows give no rows; further columns
-    are ignored.
+    A null text is empty, and one under length bytes loses nothing; a text of any length is taken whole, in overlapping pieces.
+    Rows of an equal id and text are one document, and both keep what it keeps; texts of one id that differ have spans of their
+    own, and none is earlier at the same byte. Rows with a null id take no part and lose nothing. No rows give no rows; further
+    columns, of whatever names, are ignored.
     """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -328,7 +346,11 @@ def without(text: str, spans: list) -> str:
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """docs with repeated passages cut from text, and n_chars, if there, made to fit; null texts stay null, rows all stay."""
+    """docs with repeated passages cut from text, and n_chars, if there, made to fit.
+
+    Null texts stay null, empty ones empty; texts of any length are taken whole; rows all stay, those of an equal id and text with
+    equal cuts, those with a null id uncut; no rows give no rows; other columns pass as they are.
+    """
     columns = docs.columns
     name = "spans_" + "_" * max(map(len, columns))  # longer than any name that is there
 

@@ -13,7 +13,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from tessera.llm import bpe, minhash, packing, quality, repeats, rindex, secrets, sharding, toxicity
+from tessera.llm import bpe, minhash, packing, quality, repeats, rindex, secrets, sharding, skew, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n int, bucket int, id string, spans_ string, component string"
 
@@ -205,9 +205,10 @@ def brute_repeats(rows, length=100):
     return out
 
 
-@pytest.mark.parametrize("many", [256, 2])
+@pytest.mark.parametrize("many", [4096, 3, 1])
 def test_repeats(spark, rows, many, monkeypatch):
-    monkeypatch.setattr(repeats, "MANY", many)  # at 2, what differs goes by single strings
+    monkeypatch.setattr(repeats, "MANY", many)  # at 3 most keys are split, at 1 all that differs goes by single strings
+    monkeypatch.setattr(skew, "LEAST", 3 if many == 3 else 4096)
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.removed(table(spark, rows)).collect()}
     assert got == brute_repeats(rows)
     cut = repeats.without_repeats(table(spark, rows))
@@ -303,7 +304,7 @@ def test_network_gradients():
             assert abs((up - down) / 2e-2 - g[place]) < 2e-3
 
 
-@pytest.mark.parametrize("many", [256, 2])
+@pytest.mark.parametrize("many", [4096, 3, 1])
 def test_repeats_of_repeated_rows_and_ids(spark, rows, many, monkeypatch):
     monkeypatch.setattr(repeats, "MANY", many)
     draw = random.Random(12)
@@ -480,3 +481,18 @@ def test_quality_fit_like_primal_descent():
         w -= 0.005 * (w - 2 * x.T @ (weight * slack * sign))
     mine = np.array([model.weights[own].sum() / len(own) ** 0.5 + model.bias for own in rows_])
     assert np.abs(mine - x @ w).max() < 0.02
+
+
+def test_repeats_of_a_hot_anchor_and_long_texts(spark, monkeypatch):
+    """A short passage in thousands of contexts, split by the second key and indexed; texts of many chunks; one class of many copies."""
+    monkeypatch.setattr(repeats, "MANY", 64)
+    monkeypatch.setattr(repeats, "BLOCK", 20_000)
+    monkeypatch.setattr(repeats, "CHUNK", 5_000)
+    monkeypatch.setattr(skew, "LEAST", 50)
+    draw = random.Random(17)
+    middle, notice = words(draw, 12), words(draw, 50)
+    contexts = [words(draw, 8) for _ in range(12)]
+    data = [(i, draw.choice(contexts) + words(draw, draw.randint(1, 12)) + middle + words(draw, 1) + draw.choice(contexts)) for i in range(1500)]
+    data += [(2000 + i, notice) for i in range(300)] + [(3000, " ".join(words(draw, 40) + notice[:150] for _ in range(60)))]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.removed(table(spark, data)).collect()}
+    assert got == brute_repeats(data)
