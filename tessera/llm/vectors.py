@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of a block; what a task holds of the data at once.
-BLOCK_ROWS = 4096
+#: Rows of a block of queries or of a list; rows of the data that queries meet at once.
+BLOCK_ROWS, MANY_ROWS = 4096, 1 << 15
 
 
 def valid(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -24,13 +27,15 @@ def drawn(rows: DataFrame, key: str, most: int) -> DataFrame:
 
 
 def sample(rows: DataFrame, most: int) -> np.ndarray:
-    """At most so many vectors, drawn by a hash of the id: those of the commonest length among them."""
-    got = [r.v for r in drawn(rows, "vec_id", most).collect()]
-    if not got:
-        return np.zeros((0, 0))
-    lengths = [len(v) for v in got]
-    width = max(sorted(set(lengths)), key=lengths.count)
-    return np.array([v for v in got if len(v) == width], float)
+    """At most so many vectors (of one length), drawn by a hash of the id."""
+    return np.array([r.v for r in drawn(rows, "vec_id", most).collect()], float)
+
+
+def by_length(rows: DataFrame, search: Callable[[DataFrame], DataFrame], schema: str) -> DataFrame:
+    """What search gives for the vectors of each length by themselves: tables mostly have one."""
+    lengths = sorted(r[0] for r in rows.select(F.size("v")).distinct().collect())
+    found = [search(rows.where(F.size("v") == n)) for n in lengths]
+    return reduce(DataFrame.unionByName, found) if found else rows.sparkSession.createDataFrame([], schema)
 
 
 def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
