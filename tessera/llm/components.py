@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm import skew
 from tessera.llm.scratch import keep
 
 
@@ -12,21 +13,21 @@ def _both(links: DataFrame) -> DataFrame:
     return links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
 
-def _least(links: DataFrame) -> DataFrame:
-    """links with m, the least of u and all it links to. The minimum is summed up before it is shuffled; the join on a hub splits."""
-    least = links.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return links.join(least, "u")
+def _least(links: DataFrame, n: int) -> DataFrame:
+    """The links (n at most) with m, the least of u and all it links to. The minimum is summed up before it is shuffled; hubs are split in the join."""
+    least = links.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("rows")).select("u", F.least("u", "m").alias("m"), "rows")
+    return skew.join(links, least, ["u"], all_rows=n)
 
 
-def large_star(links: DataFrame) -> DataFrame:
+def large_star(links: DataFrame, n: int) -> DataFrame:
     """Every larger neighbour of u links to the least of u's neighbourhood instead."""
-    return _least(_both(links)).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return _least(_both(links), 2 * n).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def small_star(links: DataFrame) -> DataFrame:
+def small_star(links: DataFrame, n: int) -> DataFrame:
     """u and its smaller neighbours link to the least of them."""
     down = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
-    near = _least(down)
+    near = _least(down, n)
     return near.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(near.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 
@@ -36,14 +37,14 @@ def components(links: DataFrame, most_rounds: int = 50) -> DataFrame:
     Rounds go on till links are stars that no round changes; each is written to the shared folder, and only a count and a
     checksum come to the driver.
     """
-    links = keep(small_star(links), "links")
+    links = keep(small_star(links, links.count()), "links")
     last = None
     for _ in range(most_rounds):
         now = links.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == last or not now[0]:
             break
         last = now
-        links = keep(small_star(large_star(links)), "links")
+        links = keep(small_star(large_star(links, now[0]), 2 * now[0]), "links")
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     return links.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(links.select(F.col("v").alias("id"), F.col("v").alias("component"))).distinct()

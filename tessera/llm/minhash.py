@@ -3,8 +3,11 @@
 Documents of equal sets are one class, and only a class's least id goes on. ROWS minima to a band and BANDS bands miss a pair
 of similarity 0.8 with a chance of (1 - 0.8 ** ROWS) ** BANDS, under 1e-7. Every bucket of a band names a pivot, and its members
 are tested against the pivot, so that a bucket of n costs n tests. What no pivot joins is then compared within its bucket
-(each member outside the bucket's main component with all others) by whole signatures and sets, block by block in the task, so that
-a bucket's pairs are never rows; what links there is confirmed like the rest. No pairs of one component are compared, and none of different components are left out.
+(each member outside the bucket's main component with all others) by whole signatures and sets, blocks of bounded size against
+each other in the task, so that a bucket's pairs are never rows; what links there is confirmed like the rest. No pairs of one
+component are compared, and none of different components are left out. A bucket that has over HOT members still apart, as where
+many texts share a frame, is first split by rare shingles: with the bucket's shingles ordered by how many members have them, two
+members can only be similar if they share one of their first (1 - similarity) * n + 1, so members meet under these alone.
 """
 
 from __future__ import annotations
@@ -16,13 +19,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm import skew
 from tessera.llm.components import components
 from tessera.llm.quality import chunks
 from tessera.llm.scratch import keep
 
 ROWS, BANDS = 6, 54
-#: Members of a bucket that are compared together.
-BLOCK = 512
+#: Members of a bucket that are compared together, and from which on those of a bucket still apart meet under rare shingles only.
+BLOCK, HOT = 512, 4096
 #: Shares of equal minima under which a pair is not confirmed: over five deviations below a similarity of 0.8.
 LEAST_EQUAL = 0.68
 
@@ -139,7 +143,7 @@ def _pairs(group: pd.DataFrame, percent: int) -> pd.DataFrame:
     sets = [np.frombuffer(x, np.uint32) for x in group["small"]]
     here = np.flatnonzero(group["here"].to_numpy())
     found = []
-    for i in np.flatnonzero(group["minor"].to_numpy()).tolist():
+    for i in np.flatnonzero(group["asks"].to_numpy()).tolist():
         other = here[comp[here] != comp[i]]
         other = other[100 * np.minimum(n[other], n[i]) >= percent * np.maximum(n[other], n[i])]
         other = other[np.count_nonzero(least[other] == least[i], axis=1) >= LEAST_EQUAL * least.shape[1]]
@@ -156,24 +160,81 @@ def _pairs(group: pd.DataFrame, percent: int) -> pd.DataFrame:
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (u, v) whose full sets have the similarity."""
-    one, two = (sets.select(F.col("id").alias(c), F.col("own").alias(f"own_{c}")).hint("shuffle_hash") for c in "uv")
+    both = pairs = keep(pairs.distinct(), "pairs")
+    n = pairs.count()
+    for c in "uv":  # a pivot is in as many pairs as its bucket has members
+        own = sets.select(F.col("id").alias(c), F.col("own").alias(f"own_{c}"))
+        both = skew.join(both, own, [c], counted=pairs.groupBy(c).agg(F.count(F.lit(1)).alias("rows")), all_rows=n)
     shared = F.size(F.array_intersect("own_u", "own_v"))
-    both = pairs.distinct().join(one, "u").join(two, "v")
     return keep(both.where(100 * shared >= percent * (F.size("own_u") + F.size("own_v") - shared)).select("u", "v"), "confirmed")
 
 
+def _shingles(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for part in parts:
+        sets = [np.frombuffer(x, np.int32) for x in part["small"]]
+        sizes = [len(x) for x in sets]
+        if sum(sizes):
+            out = part[["key", "id", "n", "component"]].loc[part.index.repeat(sizes)].reset_index(drop=True)
+            yield out.assign(shingle=np.concatenate(sets), size=np.repeat(sizes, sizes))
+
+
+def _by_rare_shingles(hot: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Buckets (key, members, id, n, component) of the members of hot buckets that share one of their rarest shingles there.
+
+    What one member alone has can be no link, so it only counts; a shingle that most members have is split in the join. Two
+    places more than the bound asks for make up for shingles whose 32 bits meet.
+    """
+    own = hot.join(sets.select("id", "small").hint("shuffle_hash"), "id").select("key", "id", "n", "component", "small")
+    every = keep(own.mapInPandas(_shingles, "key long, id long, n long, component long, shingle int, size int"), "shingles")
+    shared = every.groupBy("key", "shingle").agg(F.count(F.lit(1)).alias("seen")).where("seen > 1")
+    ordered = (
+        skew.join(every, shared, ["key", "shingle"], "seen")
+        .groupBy("key", "id", "n", "component")
+        .agg(F.array_sort(F.collect_list(F.struct("seen", "shingle"))).alias("common"), F.first("size").alias("size"))
+    )
+    places = F.col("size") - F.ceil(F.col("size") * percent / 100.0) + 3 - (F.col("size") - F.size("common"))
+    first = ordered.withColumn("common", F.slice("common", F.lit(1), F.greatest(F.lit(0), places).cast("int")))
+    member = keep(first.select(F.explode("common.shingle").alias("shingle"), "key", "id", "n", "component").select(F.xxhash64("key", "shingle").alias("key"), "id", "n", "component"), "rare")
+    several = member.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key", "members")
+    return skew.join(member, several, ["key"], "members").select("key", "members", "id", "n", "component")
+
+
+def _compared(open_: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(u, v): links of members outside their bucket's main component with members of other components.
+
+    Those outside are dealt into blocks, all members too, and each block of the one meets each of the other.
+    """
+    sums = open_.groupBy("key", "component").agg(F.count(F.lit(1)).alias("rows"))
+    main = sums.groupBy("key").agg(F.max_by("component", F.struct("rows", "component")).alias("main"), (F.sum("rows") - F.max("rows")).alias("apart"))
+    some = lambda c: F.greatest(F.lit(1), F.ceil(F.col(c) / BLOCK)).cast("int")
+    dealt = open_.join(main.hint("shuffle_hash"), "key").withColumn("p", F.pmod(F.xxhash64("id"), some("members")).cast("int")).withColumn("q", F.pmod(F.xxhash64("id", F.lit(1)), some("apart")).cast("int"))
+    role = lambda asks, p, q: F.struct(F.lit(asks).alias("asks"), F.lit(not asks).alias("here"), p.alias("p"), q.alias("q"))
+    as_member = F.transform(F.sequence(F.lit(0), some("apart") - 1), lambda q: role(False, F.col("p"), q))
+    as_asking = F.when(F.col("component") != F.col("main"), F.transform(F.sequence(F.lit(0), some("members") - 1), lambda p: role(True, p, F.col("q"))))
+    none = F.array().cast("array<struct<asks:boolean,here:boolean,p:int,q:int>>")
+    placed = (
+        dealt.select("key", "id", "n", "component", F.explode(F.concat(as_member, F.coalesce(as_asking, none))).alias("role"))
+        .groupBy("key", "id", "n", "component", "role.p", "role.q")
+        .agg(F.bool_or("role.asks").alias("asks"), F.bool_or("role.here").alias("here"))
+        .join(reps.select(F.col("doc_id").alias("id"), "least").hint("shuffle_hash"), "id")
+        .join(sets.select("id", "small").hint("shuffle_hash"), "id")
+    )
+    return placed.groupBy("key", "p", "q").applyInPandas(lambda g: _pairs(g, percent), "u long, v long")
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept, for every row of docs.
 
     Documents are linked where 100 * |intersection| >= percent * |union| of their sets of shingles; component_id is the least
-    id that links lead to. A null or empty text has no shingles and is linked with nothing. Rows of an equal id count as one
-    document if their sets are equal; if not, each may link. A row with a null id has a null component_id and is not kept
-    (kept null). No rows give no rows; further columns are ignored.
+    id that links lead to. A null or empty text has no shingles and is linked with nothing; a text of any length is taken whole.
+    Rows of an equal id count as one document if their sets are equal; if not, each may link. A row with a null id has a null
+    component_id and is not kept (kept null). Equal sets are one component, and of ids that tie for the least all are kept. No
+    rows give no rows; further columns, of whatever names, are ignored.
     """
     docs = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     signed = keep(docs.mapInPandas(lambda p: _signed(p, words), "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, least binary"), "signed")
     some = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = keep(some.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
+    classes = keep(some.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows")), "classes")
     reps = keep(some.join(classes.select(F.col("rep").alias("doc_id"), "d1", "d2"), ["doc_id", "d1", "d2"], "left_semi").dropDuplicates(["doc_id", "d1", "d2"]), "reps")
     member = reps.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
     # A key is a random number that its bucket shares: ids are ordered by what it makes of them, so bands have different pivots.
@@ -195,25 +256,18 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
 
     with_component = bucketed.join(found.hint("shuffle_hash"), "id", "left").select("key", "members", "id", "n", F.coalesce("component", "id").alias("component"))
     with_component = keep(with_component, "with-component")
-    split = with_component.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    open_ = keep(with_component.join(split.hint("shuffle_hash"), "key", "left_semi"), "open")
-    main = open_.groupBy("key", "component").agg(F.count(F.lit(1)).alias("rows")).groupBy("key").agg(F.max_by("component", F.struct("rows", "component")).alias("main"))
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    placed = (
-        open_.join(main.hint("shuffle_hash"), "key")
-        .withColumn("minor", F.col("component") != F.col("main"))
-        .withColumn("own", F.pmod(F.xxhash64("id"), blocks).cast("int"))
-        .withColumn("block", F.explode(F.when(F.col("minor"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array("own"))))
-        .select("key", "block", "id", "n", "component", "minor", (F.col("own") == F.col("block")).alias("here"))
-        .join(reps.select(F.col("doc_id").alias("id"), "least").hint("shuffle_hash"), "id")
-        .join(sets.select("id", "small").hint("shuffle_hash"), "id")
-    )
-    near = placed.groupBy("key", "block").applyInPandas(lambda g: _pairs(g, percent), "u long, v long")
+    sums = with_component.groupBy("key", "component").agg(F.count(F.lit(1)).alias("rows"))
+    split = sums.groupBy("key").agg((F.sum("rows") - F.max("rows")).alias("apart")).where("apart > 0")
+    open_ = keep(with_component.join(split.hint("shuffle_hash"), "key"), "open")
+    near = _compared(open_.where(F.col("apart") <= HOT).drop("apart"), reps, sets, percent)
+    hot = open_.where(F.col("apart") > HOT)
+    if not hot.isEmpty():
+        near = near.unionByName(_compared(keep(_by_rare_shingles(hot, sets, percent), "rare-open"), reps, sets, percent))
     more = _confirmed(near, sets, percent)
     if not more.isEmpty():
         found = keep(components(links.unionByName(more)), "found")
 
-    known = classes.join(found.withColumnRenamed("id", "rep").hint("shuffle_hash"), "rep", "left").select("d1", "d2", "n_shingles", F.coalesce("component", "rep").alias("component"))
-    out = signed.select("doc_id", "n_shingles", "d1", "d2").join(known.hint("shuffle_hash"), ["d1", "d2", "n_shingles"], "left")
+    known = classes.join(found.withColumnRenamed("id", "rep").hint("shuffle_hash"), "rep", "left").select("d1", "d2", "n_shingles", "rows", F.coalesce("component", "rep").alias("component"))
+    out = skew.join(signed.select("doc_id", "n_shingles", "d1", "d2"), keep(known, "known"), ["d1", "d2", "n_shingles"], "rows", "left")
     component = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))

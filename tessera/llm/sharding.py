@@ -48,8 +48,8 @@ def slot_sizes(rows: DataFrame, slots: int = SLOTS, parts: int = PARTS) -> DataF
     bytes and rows of a part are those of the slot over its parts, until part_sizes measures them.
     """
     known = rows.sparkSession.range(slots).select(F.col("id").cast("int").alias("vslot")).join(F.broadcast(_summed(rows, "vslot")), "vslot", "left").na.fill(0)
-    total = known.agg(F.greatest(F.sum("bytes"), F.lit(1)).alias("total"))
-    cut = known.join(F.broadcast(total)).withColumn("parts", F.greatest(F.lit(1), F.ceil(F.col("bytes") * F.lit(parts) / F.col("total") / 4)).cast("int"))
+    total = max(1, known.agg(F.sum("bytes")).first()[0])
+    cut = known.withColumn("parts", F.greatest(F.lit(1), F.ceil(F.col("bytes") * F.lit(parts) / F.lit(total) / 4)).cast("int"))
     share = lambda c: F.expr(f"{c} div parts").alias(c)
     return cut.select("vslot", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "parts", share("bytes"), share("rows"))
 

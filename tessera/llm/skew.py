@@ -10,19 +10,18 @@ LEAST, MOST = 4096, 10_000
 _SALT, _PARTS = "salt__", "parts__"
 
 
-def total(counted: DataFrame, rows: str) -> int:
-    return int(counted.agg(F.sum(rows)).first()[0] or 0)
-
-
-def join(left: DataFrame, right: DataFrame, keys: list[str], rows: str, how: str = "inner", all_rows: int | None = None) -> DataFrame:
-    """left joined with right, which has a row per key and, as rows, how many left has of it.
+def join(left: DataFrame, right: DataFrame, keys: list[str], rows: str = "rows", how: str = "inner", counted: DataFrame | None = None, all_rows: int | None = None) -> DataFrame:
+    """left joined with right, which has a row per key. counted (right, if not given) has, as rows, how many left has of each key.
 
     Keys of more than LEAST rows and of more than all rows over MOST are split: there are at most MOST of them, whatever the
     input. Their rows in left are dealt by a hash of the row, theirs in right are repeated for every part. Nulls match nothing.
     """
-    bound = max(LEAST, (total(right, rows) if all_rows is None else all_rows) // MOST)
-    parts = F.greatest(F.lit(1), F.ceil(F.col(rows) / bound)).cast("int")
-    heavy = right.where(F.col(rows) > bound).select(*keys, parts.alias(_PARTS))
-    dealt = left.join(F.broadcast(heavy), keys, "left").withColumn(_SALT, F.pmod(F.xxhash64(*left.columns), F.coalesce(_PARTS, F.lit(1))).cast("int")).drop(_PARTS)
-    repeated = right.withColumn(_SALT, F.explode(F.sequence(F.lit(0), parts - 1)))
+    counted = right if counted is None else counted
+    if all_rows is None:
+        all_rows = int(counted.agg(F.sum(rows)).first()[0] or 0)
+    bound = max(LEAST, all_rows // MOST)
+    heavy = F.broadcast(counted.where(F.col(rows) > bound).select(*keys, F.ceil(F.col(rows) / bound).cast("int").alias(_PARTS)))
+    parts = F.coalesce(_PARTS, F.lit(1))
+    dealt = left.join(heavy, keys, "left").withColumn(_SALT, F.pmod(F.xxhash64(*left.columns), parts).cast("int")).drop(_PARTS)
+    repeated = right.join(heavy, keys, "left").withColumn(_SALT, F.explode(F.sequence(F.lit(0), parts - 1))).drop(_PARTS)
     return dealt.join(repeated.hint("shuffle_hash"), [*keys, _SALT], how).drop(_SALT)

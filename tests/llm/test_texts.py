@@ -496,3 +496,22 @@ def test_repeats_of_a_hot_anchor_and_long_texts(spark, monkeypatch):
     data += [(2000 + i, notice) for i in range(300)] + [(3000, " ".join(words(draw, 40) + notice[:150] for _ in range(60)))]
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.removed(table(spark, data)).collect()}
     assert got == brute_repeats(data)
+
+
+@pytest.mark.parametrize("hot", [4096, 40])
+def test_minhash_of_many_texts_with_one_frame(spark, hot, monkeypatch):
+    """Hundreds of unlinked members of one bucket in blocks, or under rare shingles; a few of them are near-duplicates."""
+    monkeypatch.setattr(minhash, "HOT", hot)
+    monkeypatch.setattr(minhash, "BLOCK", 64)
+    monkeypatch.setattr(skew, "LEAST", 100)
+    draw = random.Random(23)
+    frame = [words(draw, 1) + str(i) for i in range(60)]
+    data = [(i, " ".join(frame + [f"own{i}x{j}" for j in range(draw.randint(18, 26))])) for i in range(400)]
+    data += [(1000 + i, data[3 * i][1] + " tail") for i in range(30)] + [(2000 + i, data[5][1]) for i in range(200)]
+    sets = {i: {tuple(t.split()[j : j + 4]) for j in range(len(t.split()) - 3)} for i, t in data}
+    of = {i: i for i, _ in data}
+    for a, b in [(a, b) for a in of for b in of if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]:
+        low, high = sorted((of[a], of[b]))
+        of = {i: low if c == high else c for i, c in of.items()} if low != high else of
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(table(spark, data), 4).collect()}
+    assert got == of and len(set(of.values())) > 300
