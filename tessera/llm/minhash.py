@@ -161,10 +161,9 @@ def _pairs(group: pd.DataFrame, percent: int) -> pd.DataFrame:
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (u, v) whose full sets have the similarity."""
     both = pairs = keep(pairs.distinct(), "pairs")
-    n = pairs.count()
     for c in "uv":  # a pivot is in as many pairs as its bucket has members
         own = sets.select(F.col("id").alias(c), F.col("own").alias(f"own_{c}"))
-        both = skew.join(both, own, [c], counted=pairs.groupBy(c).agg(F.count(F.lit(1)).alias("rows")), all_rows=n)
+        both = skew.join(both, own, [c], counted=pairs.groupBy(c).agg(F.count(F.lit(1)).alias("rows")))
     shared = F.size(F.array_intersect("own_u", "own_v"))
     return keep(both.where(100 * shared >= percent * (F.size("own_u") + F.size("own_v") - shared)).select("u", "v"), "confirmed")
 

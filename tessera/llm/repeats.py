@@ -241,7 +241,7 @@ def _edges(rows: DataFrame, classes: DataFrame, several: DataFrame | None, extra
 
     Where texts of one id differ elsewhere, a class may have its first snippet in several of them: each has edges.
     """
-    kinds = classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    kinds = keep(classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"), "kinds")
     earliest = classes.select("anchor", "first.doc_id", "first.v", "first.at", "n", *extra)
     if several is not None:
         firsts = classes.where("rows > 1").select(*_CLASS, "first")
