@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tessera.functions.optics import clamp, smoothstep
+from tessera.functions.optics import clamp, smoothstep, srgb
 
 # The D65 white, and the linear map from XYZ to sRGB.
 D65 = (0.95047, 1.0, 1.08883)
@@ -84,3 +84,21 @@ def undistorted(x: Column, k1: float, k2: float, k3: float, rounds: int = 20) ->
 def framed_share(native: Column, framed: Column) -> Column:
     """The part of a module's frame, in each direction, that a picture of another focal length shows."""
     return clamp(native / framed, 0.05, 1.0)
+
+
+# The map from XYZ under D50 to XYZ under D65.
+D50_TO_D65 = ((0.9555766, -0.0230393, 0.0631636), (-0.0282895, 1.0099416, 0.0210077), (0.0122982, -0.020483, 1.3299098))
+
+
+def output(xyz: tuple[Column, Column, Column], exposure: float) -> list[Column]:
+    """Linear sRGB, between 0 and 1, of XYZ under D50."""
+    return [clamp(c * exposure, 0.0, 1.0) for c in product(XYZ_TO_SRGB, tuple(product(D50_TO_D65, xyz)))]
+
+
+def displayed(linear: Column) -> Column:
+    return srgb(linear)
+
+
+def log_chroma(x: Column, y: Column, z: Column) -> tuple[Column, Column]:
+    """Logarithms of x and z over y."""
+    return F.ln(x / y), F.ln(z / y)

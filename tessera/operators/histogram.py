@@ -20,3 +20,17 @@ def weighted_middle(samples: DataFrame, by: list[str], value: str, weight: str,
     w = Window.partitionBy(*by)
     run = codes.withColumn("up_to_", F.sum("c_").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))).withColumn("n_", F.sum("c_").over(w))
     return run.where("2 * up_to_ >= n_").groupBy(*by).agg(F.min(value).alias(out))
+
+
+def at(codes: Column, place: Column) -> Column:
+    """The value at place (from 0) of samples told by codes, an array of (v, n) in the order of v."""
+    step = lambda a, e: F.struct(F.when(a["left"] >= 0, e["v"]).otherwise(a["v"]).alias("v"), (a["left"] - e["n"]).alias("left"))
+    return F.aggregate(codes, F.struct(F.get(codes, F.lit(0))["v"].alias("v"), place.cast("long").alias("left")), step)["v"]
+
+
+def trimmed_mean(codes: Column, n: Column, share: float) -> Column:
+    """The mean of what is left when so large a share goes at either end."""
+    gone = F.floor(n * share)
+    used = lambda a, e: F.greatest(F.lit(0), F.least(a["up"] + e["n"], n - gone) - F.greatest(a["up"], gone))
+    step = lambda a, e: F.struct((a["up"] + e["n"]).alias("up"), (a["s"] + e["v"] * used(a, e)).alias("s"))
+    return F.aggregate(codes, F.struct(F.lit(0).cast("long").alias("up"), F.lit(0.0).alias("s")), step)["s"] / (n - 2 * gone)

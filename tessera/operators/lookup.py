@@ -89,3 +89,21 @@ def active(samples: DataFrame, bands: DataFrame, gain: float, threshold: float)
     """Samples in a band whose excess times gain comes to the threshold."""
     hot = bands.where(F.col("excess") * gain >= threshold)
     return samples.join(hot, (samples["m"] == hot["m"]) & (samples["sev"] >= hot["lo"]) & (samples["sev"] < hot["hi"])).select(samples["*"])
+
+
+def warped(grids: list[Column], columns: int, rows: int, step: int, x: Column, y: Column) -> list[Column]:
+    """u, v, sure and magnified: a warp tabulated every step pixels (grids of u, v and sureness) at x, y. Off the grid's first row or column, or where a node is null, it is not defined."""
+    inside = (x >= 0) & (y >= 0)
+    held = lambda p, n: F.least(F.floor(p / step).cast("int"), F.lit(n - 1))
+
+    def at(grid: Column, px: Column, py: Column) -> Column:
+        c0, r0 = held(px, columns), held(py, rows)
+        c1, r1, tx, ty = F.least(c0 + 1, F.lit(columns - 1)), F.least(r0 + 1, F.lit(rows - 1)), px / step - c0, py / step - r0
+        g = lambda r, c: F.get(grid, r * columns + c)
+        return (g(r0, c0) * (1 - tx) + g(r0, c1) * tx) * (1 - ty) + (g(r1, c0) * (1 - tx) + g(r1, c1) * tx) * ty
+
+    u, v = at(grids[0], x, y), at(grids[1], x, y)
+    span = lambda px, py: F.hypot(at(grids[0], px, py) - u, at(grids[1], px, py) - v) / step
+    sure = F.greatest(F.lit(0.0), F.least(F.lit(1.0), at(grids[2], x, y)))
+    magnified = F.greatest(F.lit(1e-6), F.sqrt(span(x + step, y) * span(x, y + step)))
+    return [F.when(inside, u), F.when(inside, v), F.when(inside, sure).otherwise(0.0), F.when(inside, magnified)]

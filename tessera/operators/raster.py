@@ -17,57 +17,6 @@ def stacked(rows: DataFrame, offsets: list[int], height: int, phase: int = 1, re
     return rows.join(near.withColumnRenamed("own", "y"), ["m", "y"])
 
 
-def hot_pixels(rows: DataFrame, height: int, width: int, least: int = 16, sigma: float = 6.0, absolute: int = 4) -> DataFrame:
-    """m, y, x, raw, sev, pred, mad, replaced for each sample of so much severity: 5 x 5 neighbours of its phase, reflected.
-
-    A sample is replaced if it exceeds the upper median by sigma deviations (a deviation being one code at least) and by the
-    absolute codes; one of severity 255 also if it is as far below.
-    """
-    half = width // 2
-    index = f"(x % 2) + 2 * CASE WHEN a < 0 THEN -a WHEN a >= {half} THEN {2 * half - 2} - a ELSE a END"
-    gathered = f"flatten(transform(near, r -> transform(transform(sequence(-2, 2), k -> x div 2 + k), a -> r.raw[{index}])))"
-    out = (
-        stacked(rows, [-2, -1, 0, 1, 2], height, phase=2)
-        .select("m", "y", "near", F.posexplode(F.arrays_zip("raw", "sev")).alias("x", "p"))
-        .where(F.col("p.sev") >= least)
-        .select("m", "y", "x", "p.raw", "p.sev", F.expr(f"array_sort({gathered})").alias("s"))
-        .select("m", "y", "x", "raw", "sev", "s", F.col("s")[12].alias("pred"))
-        .select("m", "y", "x", "raw", "sev", "pred", F.expr("array_sort(transform(s, v -> abs(v - pred)))[12]").alias("mad"))
-    )
-    gone = F.when(F.col("sev") == 255, F.abs(F.col("raw") - F.col("pred"))).otherwise(F.col("raw") - F.col("pred"))
-    return out.withColumn("replaced", gone > F.greatest(sigma * F.greatest(F.col("mad"), F.lit(1)), F.lit(absolute)))
-
-
-def correction_stats(corrected: DataFrame) -> DataFrame:
-    """Counts and sums of a correction, by module."""
-    size = F.abs(F.col("raw") - F.col("pred"))
-    return corrected.groupBy("m").agg(
-        F.count(F.lit(1)).alias("candidates"),
-        F.count_if("replaced").alias("corrected"),
-        F.coalesce(F.sum(F.when(F.col("replaced"), size)), F.lit(0)).cast("long").alias("total_delta"),
-        F.coalesce(F.max(F.when(F.col("replaced"), size)), F.lit(0)).cast("long").alias("max_delta"),
-        F.sum("pred").cast("long").alias("sum_pred"),
-        F.sum("mad").cast("long").alias("sum_mad"),
-    )
-
-
-def demosaic(rows: DataFrame, height: int, width: int) -> DataFrame:
-    """m, y, x, c, v: an RGGB mosaic's three channels (0 to 2): the sample itself, or the rounded mean of the 3 x 3 neighbours of that colour that exist."""
-    colour = "CASE WHEN ({y}) % 2 = ({x}) % 2 THEN CASE WHEN ({y}) % 2 = 0 THEN 0 ELSE 2 END ELSE 1 END"
-    near = (
-        "flatten(transform(near, r -> transform(filter(sequence(x - 1, x + 1), i -> i >= 0 AND i < "
-        f"{width}), i -> named_struct('c', {colour.format(y='y + r.d', x='i')}, 'v', r.raw[i]))))"
-    )
-    mean = "aggregate(filter(n, e -> e.c = c), named_struct('s', 0, 'k', 0), (a, e) -> named_struct('s', a.s + e.v, 'k', a.k + 1), a -> (a.s + a.k div 2) div a.k)"
-    return (
-        stacked(rows, [-1, 0, 1], height, reflect=False)
-        .select("m", "y", "near", F.posexplode("raw").alias("x", "own"))
-        .select("m", "y", "x", "own", F.expr(near).alias("n"), F.expr(colour.format(y="y", x="x")).alias("own_c"))
-        .select("m", "y", "x", "own", "own_c", "n", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("c"))
-        .select("m", "y", "x", "c", F.expr(f"CASE WHEN c = own_c THEN own ELSE CAST({mean} AS INT) END").alias("v"))
-    )
-
-
 def halved(rows: DataFrame) -> DataFrame:
     """m, y, x, luma: ln(1 + 1000 L) of the mean of each 2 x 2 cell of the half plane, L being the mean over 1023."""
     pairs = F.expr("transform(sequence(0, size(raw) div 2 - 1), i -> raw[2 * i] + raw[2 * i + 1])")

@@ -2,22 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions import optics, robust
-from tessera.operators import catalog, lookup, ordered, raster
-from tessera.plans import multiview, photometry, views  # noqa: F401 (they register their queries)
+from tessera.functions import optics
+from tessera.operators import bands, catalog, histogram, lookup, ordered, raster
+from tessera.plans import capture, multiview, photometry, views  # noqa: F401 (they register their queries)
 from tessera.plans.registry import oracle_sql, queries  # noqa: F401
 from tessera.plans.registry import query as _query
 from tessera.sources import container
 from tessera.sources.standins import MODULE_ROWS, WIDTH, pixels, sensor_rows, table
 
-def _per_module(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All samples of each module in one array: modules are of fixed size here."""
-    return sensor_rows(spark, sf_dir).groupBy("m").agg(F.flatten(F.collect_list("raw")).alias("a"))
-
-
 # Raster
 
 
@@ -33,7 +28,9 @@ SELECT m, count(*) AS candidates, count(*) FILTER (gone) AS corrected, CAST(coal
     px=True,
 )
 def hotpixel_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return raster.correction_stats(raster.hot_pixels(sensor_rows(spark, sf_dir), MODULE_ROWS, WIDTH))
+    return bands.corrected(sensor_rows(spark, sf_dir), MODULE_ROWS).groupBy("m").agg(
+        *(F.sum(c).cast("long").alias(c) for c in ("candidates", "corrected", "total_delta", "sum_pred", "sum_mad")), F.max("max_delta").alias("max_delta")
+    )
 
 
 @_query(
@@ -44,8 +41,11 @@ SELECT m, CAST(c AS INT) AS c, CAST(sum(v) AS BIGINT) AS total, CAST(sum(v * (y
     px=True,
 )
 def simple_demosaic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = raster.demosaic(sensor_rows(spark, sf_dir), MODULE_ROWS, WIDTH)
-    return v.groupBy("m", "c").agg(F.sum("v").cast("long").alias("total"), F.sum(F.col("v").cast("long") * (F.col("y") * WIDTH + F.col("x") + 1)).alias("weighted"))
+    total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, v: s + v)
+    sums = lambda k, c: F.struct(F.lit(k).alias("c"), total(F.col(c)).alias("t"), total(F.transform(c, lambda v, x: v * (x + 1))).alias("w"))
+    v = bands.demosaiced(sensor_rows(spark, sf_dir), MODULE_ROWS)
+    v = v.select("m", "y", F.inline(F.array(*(sums(k, c) for k, c in enumerate(("red", "green", "blue"))))))
+    return v.groupBy("m", "c").agg(F.sum("t").alias("total"), F.sum(F.col("w") + F.col("t") * F.col("y") * WIDTH).alias("weighted"))
 
 
 @_query("SELECT m, CAST(sum(raw << 6) AS BIGINT) AS q6, CAST(sum(((raw << 6) + 1) // 2) AS BIGINT) AS reserved, round(avg(greatest(0, (raw - 42) / 981.0)), 6) AS normal FROM px GROUP BY m", px=True)
@@ -100,18 +100,26 @@ SELECT m, round(avg(merged), 6) AS merged, round(avg(weight), 6) AS weight FROM
     px=True,
 )
 def burst_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = pixels(sensor_rows(spark, sf_dir)).withColumn("k", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))))
-    v = F.expr("raw + ((13 * k + 7 * y + 3 * x) % 41) - 20 + CASE WHEN (y + x + k) % 97 = 0 THEN 400 ELSE 0 END")
-    p = p.withColumn("v", v).withColumn("w", optics.bisquare(F.col("v") - F.col("raw"), 0.2 * F.col("raw") + 4.0))
-    merged = p.groupBy("m", "y", "x").agg(((F.first("raw") + F.sum(F.col("w") * F.col("v"))) / (1 + F.sum("w"))).alias("merged"), (1 + F.sum("w")).alias("weight"))
-    return merged.groupBy("m").agg(F.round(F.avg("merged"), 6).alias("merged"), F.round(F.avg("weight"), 6).alias("weight"))
+    """A sample's frames lie in its row, so samples are merged there, and rows only add up."""
+    moved = lambda k, x: (13 * k + 7 * F.col("y") + 3 * x) % 41 - 20 + F.when((F.col("y") + x + k) % 97 == 0, 400).otherwise(0)
+
+    def merged(raw: Column, x: Column) -> Column:
+        each = [(raw + moved(k, x), optics.bisquare(moved(k, x).cast("double"), 0.2 * raw + 4.0)) for k in (1, 2, 3)]
+        weight = sum((w for _, w in each), F.lit(1.0))
+        return F.struct((sum((v * w for v, w in each), raw.cast("double")) / weight).alias("merged"), weight.alias("weight"))
+
+    add = lambda c: F.aggregate(F.transform("s", lambda e: e[c]), F.lit(0.0), lambda a, v: a + v)
+    rows = sensor_rows(spark, sf_dir).select("m", F.transform("raw", merged).alias("s")).select("m", F.size("s").alias("n"), add("merged").alias("merged"), add("weight").alias("weight"))
+    return rows.groupBy("m").agg(*(F.round(F.sum(c) / F.sum("n"), 6).alias(c) for c in ("merged", "weight")))
 
 
 @_query("SELECT m, y, CAST(sum(raw * (x + 1)) AS BIGINT) AS weighted, count(*) AS samples FROM px GROUP BY m, y", px=True)
 def raw10_unpack(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = sensor_rows(spark, sf_dir).select("m", "y", F.pandas_udf(lambda rows: rows.map(container.pack10), "binary")("raw").alias("p"))
-    read = packed.select("m", "y", F.posexplode(container.samples10(F.col("p"))).alias("x", "v"))
-    return read.groupBy("m", "y").agg(F.sum(F.col("v") * (F.col("x") + 1)).cast("long").alias("weighted"), F.count(F.lit(1)).alias("samples"))
+    unpack = F.pandas_udf(lambda rows: rows.map(lambda b: container.unpack10(b).astype("int32")), "array<int>")
+    read = packed.select("m", "y", unpack("p").alias("v"))
+    weighted = F.aggregate(F.transform("v", lambda v, x: v * (x + 1)), F.lit(0).cast("long"), lambda a, v: a + v)
+    return read.groupBy("m", "y").agg(F.sum(weighted).alias("weighted"), F.sum(F.size("v")).cast("long").alias("samples"))
 
 
 # Order statistics
@@ -126,17 +134,21 @@ SELECT m, a[CAST(floor((n - 1) * 0.995) AS INT) + 1] AS floor_share, a[CAST(n *
     px=True,
 )
 def order_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = F.col("a")
-    middle = _per_module(spark, sf_dir).select("m", F.sort_array("a").alias("a")).withColumn("middle", robust.upper_median(a))
-    return middle.select(
+    """Read off counts by code: a module's samples are counted where they are, and its codes, of which there are 1024, meet."""
+    counts = pixels(sensor_rows(spark, sf_dir)).groupBy("m", "raw").agg(F.count(F.lit(1)).alias("n"))
+    h = counts.groupBy("m").agg(F.array_sort(F.collect_list(F.struct(F.col("raw").alias("v"), "n"))).alias("h"), F.sum("n").alias("n"))
+    n = F.col("n")
+    at = lambda place: histogram.at(F.col("h"), place)
+    h = h.withColumn("middle", at(F.floor(n / 2)))
+    return h.select(
         "m",
-        robust.at_share(a, 0.995).alias("floor_share"),
-        robust.at_thousandths(a, 995).alias("thousandths"),
-        robust.at_rank(a, 0.9).alias("nearest_rank"),
+        at(F.floor((n - 1) * 0.995)).alias("floor_share"),
+        at(F.floor(n * 995 / 1000)).alias("thousandths"),
+        at(F.ceil(n * 0.9) - 1).alias("nearest_rank"),
         F.col("middle").alias("upper_median"),
-        robust.averaged_median(a).alias("averaged_median"),
-        robust.deviation(a, F.col("middle")).alias("deviation"),
-        F.round(robust.trimmed_mean(a, 0.1), 6).alias("trimmed"),
+        ((at(F.floor((n - 1) / 2)) + F.col("middle")) / 2.0).alias("averaged_median"),
+        histogram.at(F.array_sort(F.transform("h", lambda e: F.struct(F.abs(e["v"] - F.col("middle")).alias("v"), e["n"].alias("n")))), F.floor(n / 2)).alias("deviation"),
+        F.round(histogram.trimmed_mean(F.col("h"), n, 0.1), 6).alias("trimmed"),
     )
 
 
@@ -152,12 +164,7 @@ def five_number_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT p_brand, min(v) AS weighted_median FROM r WHERE 2 * run >= total GROUP BY p_brand"""
 )
 def weighted_median(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("p_brand")
-    run = F.sum("p_size").over(w.orderBy("p_retailprice", "p_partkey").rowsBetween(Window.unboundedPreceding, 0))
-    r = table(spark, sf_dir, "part").select("p_brand", "p_retailprice", run.alias("run"), F.sum("p_size").over(w).alias("total"))
-    return r.where("2 * run >= total").groupBy("p_brand").agg(F.min("p_retailprice").alias("weighted_median"))
+    return histogram.weighted_middle(table(spark, sf_dir, "part"), ["p_brand"], "p_retailprice", "p_size", "weighted_median")
 
 
 @_query(
@@ -266,10 +273,12 @@ def first_wins_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("SELECT a.m, CAST(sum(b.raw) AS BIGINT) AS nearest FROM px a JOIN px b ON b.m = a.m AND b.y = least(96, 8 * CAST(round(a.y / 8.0) AS INT)) AND b.x = least(56, 8 * CAST(round(a.x / 8.0) AS INT)) GROUP BY a.m", px=True)
 def nearest_node(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = pixels(sensor_rows(spark, sf_dir))
-    node = lambda c, most: F.least(F.lit(most), 8 * F.round(F.col(c) / 8.0).cast("int"))
-    asked = p.select("m", node("y", 96).alias("y"), node("x", 56).alias("x")).groupBy("m", "y", "x").agg(F.count(F.lit(1)).alias("n"))
-    return asked.join(p, ["m", "y", "x"]).groupBy("m").agg(F.sum(F.col("n") * F.col("raw")).cast("long").alias("nearest"))
+    """Nodes are every eighth sample of every eighth row: such a row knows how often each of its nodes is asked for, so nothing is joined."""
+    node = lambda at, most: F.least(F.lit(most), 8 * F.round(at / 8.0).cast("int"))
+    near = lambda most, size: F.transform(F.sequence(F.lit(0), F.lit(most), F.lit(8)), lambda k: F.size(F.filter(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: node(i, most) == k)))
+    rows = sensor_rows(spark, sf_dir).where("y % 8 = 0 AND y <= 96")
+    per_row = F.aggregate(F.transform(near(56, WIDTH), lambda n, i: n * F.get("raw", i * 8)), F.lit(0).cast("long"), lambda a, v: a + v)
+    return rows.groupBy("m").agg(F.sum(per_row * F.get(near(96, MODULE_ROWS), F.expr("CAST(y div 8 AS INT)"))).alias("nearest"))
 
 
 @_query("SELECT a.c_nationkey, round(avg(abs(a.c_acctbal - b.c_acctbal)), 4) AS mean_difference, count(DISTINCT a.c_custkey) + 1 AS members FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey AND a.c_custkey < b.c_custkey GROUP BY a.c_nationkey")

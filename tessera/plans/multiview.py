@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text
 from tessera.operators import ordered, state
 from tessera.plans.registry import query
-from tessera.sources.standins import pixels, sensor_rows, table
+from tessera.sources.standins import sensor_rows, table
 
 
 @query("SELECT c_nationkey FROM customer WHERE c_acctbal > 9000 INTERSECT SELECT s_nationkey FROM supplier")
@@ -19,9 +19,9 @@ def requested_present(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("+ f AS (SELECT m, y, x, sev = 255 AS f FROM px UNION ALL SELECT m, y, x, raw > 900 FROM px), o AS (SELECT m, y, x, bool_or(f) AS f FROM f GROUP BY ALL) SELECT m, count(*) FILTER (f) AS forced FROM o GROUP BY m", px=True)
 def forced_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = pixels(sensor_rows(spark, sf_dir))
-    both = state.merged_masks([p.select("m", "y", "x", (F.col("sev") == 255).alias("f")), p.select("m", "y", "x", (F.col("raw") > 900).alias("f"))], ["m", "y", "x"], "f")
-    return both.groupBy("m").agg(F.count_if("f").alias("forced"))
+    """Both masks of a row are in the row."""
+    both = F.zip_with(F.transform("sev", lambda s: s == 255), F.transform("raw", lambda v: v > 900), lambda a, b: a | b)
+    return sensor_rows(spark, sf_dir).select("m", F.size(F.filter(both, lambda f: f)).alias("n")).groupBy("m").agg(F.sum("n").cast("long").alias("forced"))
 
 
 @query("SELECT s_nationkey AS k, s_name AS name FROM supplier UNION ALL SELECT c_nationkey, c_name FROM customer WHERE c_nationkey NOT IN (SELECT s_nationkey FROM supplier)")
@@ -83,15 +83,29 @@ def sharpest_row(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH RECURSIVE s AS (SELECT l_orderkey AS k, l_linenumber AS o, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS i, 1 + l_discount * 10 AS t, l_extendedprice AS v, l_quantity AS w FROM lineitem),
-a AS (SELECT k, i, t, v * w AS s, w, 1 AS n FROM s WHERE i = 1 UNION ALL
-  SELECT s.k, s.i, CASE WHEN s.t > a.t * 1.2 THEN s.t WHEN s.t * 1.2 < a.t THEN a.t ELSE greatest(a.t, s.t) END, CASE WHEN s.t > a.t * 1.2 THEN s.v * s.w WHEN s.t * 1.2 < a.t THEN a.s ELSE a.s + s.v * s.w END,
-    CASE WHEN s.t > a.t * 1.2 THEN s.w WHEN s.t * 1.2 < a.t THEN a.w ELSE a.w + s.w END, CASE WHEN s.t > a.t * 1.2 THEN 1 WHEN s.t * 1.2 < a.t THEN a.n ELSE a.n + 1 END FROM a JOIN s ON s.k = a.k AND s.i = a.i + 1)
-SELECT k, round(t, 6) AS tier, CAST(round(s * 100) AS BIGINT) AS total_hundredths, w AS weight, n AS used FROM a WHERE i = (SELECT max(i) FROM s WHERE s.k = a.k)"""
+    """WITH RECURSIVE s AS (SELECT l_orderkey AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS i, 1 + l_discount * 10 AS t, (l_partkey % 41 - 15) / 1000.0::DOUBLE AS d,
+  CASE WHEN l_quantity < 5 THEN 0 ELSE l_quantity / 50 END AS w, (l_suppkey % 10) / 10.0::DOUBLE AS px, (l_partkey % 7) / 7.0::DOUBLE AS py FROM lineitem),
+a AS (SELECT k, 0::BIGINT AS i, 0::DOUBLE AS t, 0::DOUBLE AS v, 0::DOUBLE AS va, 0::DOUBLE AS w, 0::DOUBLE AS x, 0::DOUBLE AS y, 0::DOUBLE AS q, 0 AS n, 0::DOUBLE AS best, 0::DOUBLE AS score FROM s WHERE i = 1
+  UNION ALL SELECT k, i, CASE WHEN skip THEN t WHEN light THEN bt ELSE greatest(bt, et) END, CASE WHEN skip THEN v WHEN light THEN bv ELSE bv + ew * ed END, CASE WHEN skip THEN va WHEN light THEN ba ELSE ba + ew * abs(ed) END,
+    CASE WHEN skip THEN w WHEN light THEN bw ELSE bw + ew END, CASE WHEN skip THEN x WHEN light THEN bx ELSE bx + ew * ex END, CASE WHEN skip THEN y WHEN light THEN by_ ELSE by_ + ew * ey END,
+    CASE WHEN skip THEN q WHEN light THEN bq ELSE bq + ew * (ex * ex + ey * ey) END, CASE WHEN skip THEN n WHEN light THEN bn ELSE bn + 1 END,
+    CASE WHEN skip THEN best WHEN light THEN bb WHEN abs(ed) * sqrt(ew) > bs THEN ed ELSE bb END, CASE WHEN skip THEN score WHEN light THEN bs ELSE greatest(bs, abs(ed) * sqrt(ew)) END
+  FROM (SELECT a.*, s.i AS ni, s.t AS et, s.d AS ed, s.w AS ew, s.px AS ex, s.py AS ey, a.n > 0 AND s.t * 1.2 < a.t AS skip, s.w <= 1e-8 AS light, a.n > 0 AND s.t > a.t * 1.2 AS fresh,
+    CASE WHEN fresh THEN 0 ELSE a.t END AS bt, CASE WHEN fresh THEN 0 ELSE a.v END AS bv, CASE WHEN fresh THEN 0 ELSE a.va END AS ba, CASE WHEN fresh THEN 0 ELSE a.w END AS bw, CASE WHEN fresh THEN 0 ELSE a.x END AS bx,
+    CASE WHEN fresh THEN 0 ELSE a.y END AS by_, CASE WHEN fresh THEN 0 ELSE a.q END AS bq, CASE WHEN fresh THEN 0 ELSE a.n END AS bn, CASE WHEN fresh THEN 0 ELSE a.best END AS bb, CASE WHEN fresh THEN 0 ELSE a.score END AS bs
+    FROM a JOIN s ON s.k = a.k AND s.i = a.i + 1) AS j(k, old, t, v, va, w, x, y, q, n, best, score, i, et, ed, ew, ex, ey, skip, light, fresh, bt, bv, ba, bw, bx, by_, bq, bn, bb, bs)),
+f AS (SELECT *, sqrt(greatest(0, q / w - pow(x / w, 2) - pow(y / w, 2))) AS spread, abs(v) / greatest(va, 1e-8) AS agree, greatest(0, least(1, (abs(v) / greatest(va, 1e-8) - 0.45) / 0.45)) AS u
+  FROM a WHERE i = (SELECT max(i) FROM s WHERE s.k = a.k) AND w > 1e-8 AND (n >= 2 OR t > 1.35)),
+g AS (SELECT *, v / w + CASE WHEN v * best > 0 THEN 0.55 * u * u * (3 - 2 * u) * (best - v / w) ELSE 0 END AS detail, greatest(0, least(1, (n - 1) / 2.0)) AS c1, greatest(0, least(1, (spread - 0.04) / 0.24)) AS c2, greatest(0, least(1, (agree - 0.08) / 0.52)) AS c3 FROM f),
+h AS (SELECT *, CASE WHEN n < 2 THEN 0 ELSE c1 * c1 * (3 - 2 * c1) * c2 * c2 * (3 - 2 * c2) END AS phase, greatest(0, least(1, (abs(detail) - 0.00025) / 0.0025)) AS c4 FROM g)
+SELECT k, CAST(n AS INT) AS cameras, round(t, 6) AS tier, round(detail, 8) AS detail, round(spread, 6) AS spread, round(CASE WHEN t > 1.35 THEN 0.72 + 0.28 * phase ELSE phase END * c3 * c3 * (3 - 2 * c3) * c4 * c4 * (3 - 2 * c4), 6) AS confidence FROM h"""
 )
 def detail_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS k", "struct(l_linenumber, l_partkey) AS o", "1 + l_discount * 10 AS t", "l_extendedprice AS v", "l_quantity AS w")
-    return state.tiered(s, ["k"], "t", "v", "w", "o").select("k", F.round("tier", 6).alias("tier"), F.round(F.col("total") * 100).cast("long").alias("total_hundredths"), "weight", "used")
+    s = table(spark, sf_dir, "lineitem").selectExpr(
+        "l_orderkey AS k", "struct(l_linenumber, l_partkey) AS o", "1 + l_discount * 10 AS tier", "(l_partkey % 41 - 15) / 1000D AS value", "if(l_quantity < 5, 0D, l_quantity / 50) AS weight", "(l_suppkey % 10) / 10D AS px", "(l_partkey % 7) / 7D AS py"
+    )
+    t = state.tiered(s, ["k"], "o")
+    return t.select("k", "cameras", F.round("tier", 6).alias("tier"), F.round("detail", 8).alias("detail"), F.round("spread", 6).alias("spread"), F.round("confidence", 6).alias("confidence"))
 
 
 @query("SELECT user_id, event_id, epoch_us(ts) AS us, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 4) AS pose FROM events")

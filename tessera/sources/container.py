@@ -27,6 +27,20 @@ def framed(kind: int, message: bytes, payload: bytes = b"") -> bytes:
     return head.ljust(HEADER_SIZE, b"\0") + payload + message
 
 
+def _checked(head: bytes, start: int, size: int | None) -> tuple[int, int, int, int]:
+    """A header's block length, message offset, message length and kind, if they can be."""
+    if len(head) < HEADER_SIZE:
+        raise ContainerError(f"truncated header at {start}")
+    magic, length, offset, n, kind = HEADER.unpack_from(head)
+    if magic != MAGIC:
+        raise ContainerError(f"no block at {start}")
+    if length < HEADER_SIZE or offset + n > length:
+        raise ContainerError(f"block at {start} has a length that cannot be")
+    if size is not None and start + length > size:
+        raise ContainerError(f"truncated block at {start}")
+    return length, offset, n, kind
+
+
 def scan(data: bytes, strict: bool = True) -> Iterator[tuple[int, int, int, bytes]]:
     """(start, length, kind, message) of each block. Not strict: up to the last complete one, as of a file still on its way."""
     start = 0
@@ -35,11 +49,7 @@ def scan(data: bytes, strict: bool = True) -> Iterator[tuple[int, int, int, byte
             if strict:
                 raise ContainerError(f"truncated header at {start}")
             return
-        magic, length, offset, n, kind = HEADER.unpack_from(data, start)
-        if magic != MAGIC:
-            raise ContainerError(f"no block at {start}")
-        if length < HEADER_SIZE or offset + n > length:
-            raise ContainerError(f"block at {start} has a length that cannot be")
+        length, offset, n, kind = _checked(data[start : start + HEADER_SIZE], start, None)
         if start + length > len(data):
             if strict:
                 raise ContainerError(f"truncated block at {start}")
@@ -48,18 +58,55 @@ def scan(data: bytes, strict: bool = True) -> Iterator[tuple[int, int, int, byte
         start += length
 
 
-def blocks(spark: SparkSession, folder: str, recursive: bool = True, strict: bool = True) -> DataFrame:
-    """path, block_index, start, length, kind, message of every block in the containers of a folder (suffix .lri, in either case)."""
+def parsed(files: DataFrame, strict: bool = True) -> DataFrame:
+    """path, block_index, start, length, kind, message of every block in files (path, content)."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             rows = [(path, i, *block) for path, data in zip(part["path"], part["content"], strict=True) for i, block in enumerate(scan(data, strict))]
             yield pd.DataFrame(rows, columns=["path", "block_index", "start", "length", "kind", "message"])
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[lL][rR][iI]").option("recursiveFileLookup", str(recursive).lower()).load(folder)
     return files.select("path", "content").mapInPandas(run, _BLOCKS)
 
 
+def files(spark: SparkSession, folder: str, recursive: bool = True) -> DataFrame:
+    """path, length and content of the containers of a folder (suffix .lri, in either case), in order of their paths; none is an error.
+
+    Where content is not asked for, files are listed and not read.
+    """
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.[lL][rR][iI]").option("recursiveFileLookup", str(recursive).lower()).load(folder)
+    if found.select("path").isEmpty():
+        raise ContainerError(f"no containers under {folder}")
+    return found.select("path", "length", "content").orderBy("path")
+
+
+def blocks(spark: SparkSession, folder: str, recursive: bool = True, strict: bool = True) -> DataFrame:
+    """path, block_index, start, length, kind, message of every block in the containers of a folder."""
+    return parsed(files(spark, folder, recursive), strict)
+
+
+def sparse_blocks(spark: SparkSession, folder: str, recursive: bool = True) -> DataFrame:
+    """The same by ranges: of each file only the headers and messages are read, never a payload; a file may be of any size."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        for part in parts:
+            rows = []
+            for path, size in zip(part["path"], part["length"], strict=True):
+                store, place = fs.FileSystem.from_uri(path)
+                with store.open_input_file(place) as f:
+                    start = i = 0
+                    while start < size:
+                        head = f.read_at(HEADER_SIZE, start)
+                        length, offset, n, kind = _checked(head, start, size)
+                        rows.append((path, i, start, length, kind, f.read_at(n, start + offset)))
+                        start, i = start + length, i + 1
+            yield pd.DataFrame(rows, columns=["path", "block_index", "start", "length", "kind", "message"])
+
+    return files(spark, folder, recursive).select("path", "length").mapInPandas(run, _BLOCKS)
+
+
 def pack10(samples: np.ndarray) -> bytes:
     """10-bit samples, a multiple of four, as groups of five bytes, the last group first."""
     s = np.asarray(samples, np.int64).reshape(-1, 4)
@@ -81,3 +128,13 @@ def samples10(packed: Column) -> Column:
     word = lambda g: sum((F.shiftleft(byte(g, i), 8 * i) for i in range(1, 5)), byte(g, 0))
     words = F.transform(F.when(groups > 0, F.sequence(F.lit(0), groups - 1)).otherwise(F.array().cast("array<int>")), word)
     return F.flatten(F.transform(words, lambda w: F.array(*(F.shiftright(w, s).bitwiseAND(F.lit(1023)).cast("int") for s in (30, 20, 10, 0)))))
+
+
+def sample10(packed: Column, index: Column) -> Column:
+    """One sample of packed groups, by its place, without the others."""
+    at = F.length(packed) - 4 - 5 * F.floor(index / 4).cast("int")  # of the group's last byte, from 1
+    word = F.lit(0).cast("long")
+    for i in range(5):
+        word = word * 256 + F.conv(F.hex(F.substring(packed, at + 4 - i, F.lit(1))), 16, 10).cast("long")
+    places = F.array(*(F.shiftright(word, s).bitwiseAND(F.lit(1023)).cast("int") for s in (30, 20, 10, 0)))
+    return places[(index % 4).cast("int")]

@@ -5,11 +5,12 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.sources.container import ContainerError
+from tessera.sources.container import ContainerError, unpack10
 
 # Kinds of blocks, sample formats, cameras by number, field numbers of the messages.
 HEADER_KIND, SETTINGS_KIND = 0, 1
@@ -198,3 +199,43 @@ def raw_layout(modules: DataFrame) -> DataFrame:
     after = F.lead("begin").over(Window.partitionBy("path").orderBy("begin", "end"))
     wrong = F.when(F.col("begin").isNull() | (F.col("end") > F.col("limit")), "escapes its block").when(after < F.col("end"), "overlaps the next").when(~F.col("tight"), "rows are padded").when(F.col("pattern").isNull(), "no pattern")
     return spans.withColumn("wrong", wrong).drop("limit", "tight")
+
+
+def plane_rows(files: DataFrame, spans: DataFrame) -> DataFrame:
+    """path, camera, y, raw: the rows of samples of every good span of raw_layout, in the order of the stream.
+
+    Rows of packed samples are groups of their own, so each is cut from the file's bytes and unpacked by itself.
+    """
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for path, camera, width, height, payload in zip(*(part[c] for c in ("path", "camera", "width", "height", "payload")), strict=True):
+                plane = unpack10(payload).reshape(height, width)
+                yield pd.DataFrame({"path": path, "camera": camera, "y": np.arange(height), "raw": list(plane.astype(np.int32))})
+
+    cut = files.select("path", "content").join(spans.where("wrong IS NULL"), "path")
+    payload = F.substring("content", (F.col("begin") + 1).cast("int"), (F.col("end") - F.col("begin")).cast("int"))
+    return cut.select("path", "camera", "width", "height", payload.alias("payload")).mapInPandas(run, "path string, camera string, y int, raw array<int>")
+
+
+# Bytes of the header before compressed planes, and its mark.
+JPEG_HEADER, JPEG_MARK = 1576, b"BJPG"
+
+
+def payload_reads(modules: DataFrame, captures: DataFrame, headers: DataFrame | None = None) -> DataFrame:
+    """path, begin, end, what: the bytes that the reference camera's frame asks for.
+
+    Packed samples are one exact range. Compressed planes are a header first; with headers (path, header) of those that are read
+    already, its four lengths give the whole range. A range that leaves its block is told in wrong.
+    """
+    first = F.row_number().over(Window.partitionBy("path").orderBy("block_index", "frame"))
+    own = modules.where("enabled").join(captures.select("path", F.col("reference").alias("camera")), ["path", "camera"]).withColumn("r", first).where("r = 1")
+    own = own.join(headers, "path", "left") if headers is not None else own.withColumn("header", F.lit(None).cast("binary"))
+    begin = F.col("start") + F.col("offset")
+    # Little-endian, from the byte after: what hex gives backwards.
+    length = lambda at: sum((F.conv(F.hex(F.substring("header", at + i + 1, 1)), 16, 10).cast("long") * (1 << 8 * i) for i in range(1, 4)), F.conv(F.hex(F.substring("header", at + 1, 1)), 16, 10).cast("long"))
+    known = F.substring("header", 1, 4) == F.lit(JPEG_MARK)
+    size = F.when(F.col("format") == PACKED10, F.floor((F.col("width").cast("long") * F.col("height") * 10 + 7) / 8)).when(known, JPEG_HEADER + sum((length(at) for at in (12, 16, 20)), length(8))).otherwise(JPEG_HEADER)
+    what = F.when((F.col("format") == PACKED10) | known, "payload").otherwise("header")
+    end = begin + size
+    return own.select("path", begin.alias("begin"), end.cast("long").alias("end"), what.alias("what"), F.when(end > F.col("start") + F.col("length"), "escapes its block").alias("wrong"))

@@ -51,6 +51,11 @@ def test_upsert_takes_the_new_row_of_a_tie(spark):
 def test_tiers_start_anew(spark):
     from tessera.operators import state
 
-    rows = [("a", 1, 1.0, 10.0, 1.0), ("a", 2, 1.1, 20.0, 1.0), ("a", 3, 2.0, 5.0, 2.0), ("a", 4, 1.0, 99.0, 9.0), ("b", 1, 0.0, 1.0, 0.0)]
-    got = {r.k: r for r in state.tiered(spark.createDataFrame(rows, "k string, o int, t double, v double, w double"), ["k"], "t", "v", "w", "o").collect()}
-    assert (got["a"].tier, got["a"].mean, got["a"].used) == (2.0, 5.0, 1) and got["b"].mean is None
+    # key, order, tier, value, weight, phase x, phase y
+    rows = [("a", 1, 1.0, 0.1, 1.0, 0.0, 0.0), ("a", 2, 1.1, 0.3, 3.0, 0.4, 0.0), ("b", 1, 1.0, 0.2, 1.0, 0.0, 0.0), ("b", 2, 2.0, 0.05, 2.0, 0.0, 0.0), ("b", 3, 1.0, 9.0, 9.0, 0.0, 0.0)]
+    rows += [("c", 1, 1.0, 0.2, 1.0, 0.0, 0.0), ("d", 1, 0.0, 1.0, 0.0, 0.0, 0.0), ("e", 1, 1.0, 0.2, 1.0, 0.0, 0.0), ("e", 2, 1.0, -0.2, 1.0, 0.5, 0.0)]
+    got = {r.k: r for r in state.tiered(spark.createDataFrame(rows, "k string, o int, tier double, value double, weight double, px double, py double"), ["k"], "o").collect()}
+    assert set(got) == {"a", "b", "e"}  # c has one sample of a low tier, d no weight
+    assert got["a"].cameras == 2 and got["a"].detail == pytest.approx(0.25 + 0.55 * (0.3 - 0.25)) and got["a"].spread == pytest.approx((0.12 - 0.09) ** 0.5)
+    assert (got["b"].cameras, got["b"].tier, got["b"].detail, got["b"].confidence) == (1, 2.0, pytest.approx(0.05), pytest.approx(0.72))
+    assert got["e"].confidence == 0 and got["e"].detail == 0
