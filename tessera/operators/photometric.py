@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,3 +81,24 @@ def balanced_loss(rows: DataFrame, by: list[str], cell: str, error: str, knee: f
     """by, loss, rmse, cells: Huber's loss averaged in each cell, cells weighing alike, with a penalty added."""
     cells = rows.groupBy(*by, cell).agg(F.avg(optics.huber(F.col(error), knee)).alias("l"), F.avg(F.col(error) * F.col(error)).alias("q"))
     return cells.groupBy(*by).agg((F.avg("l") + penalty).alias("loss"), F.sqrt(F.avg("q")).alias("rmse"), F.count(F.lit(1)).alias("cells"))
+
+
+def merged(rows: DataFrame, others: Callable[[np.ndarray, np.ndarray], list[np.ndarray]], variance: Callable[[np.ndarray], np.ndarray], sigma: float = 4.0) -> DataFrame:
+    """m, y, n, merged, weight: sums over each row of samples merged with those of other frames, and of the weights they rest on.
+
+    A sample's frames lie in its row, so rows are merged where they are, in batches. others gives the other frames' rows from the
+    rows' numbers and samples, variance that of a difference.
+    """
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            if not len(part):
+                continue
+            raw = np.stack(part["raw"].to_numpy()).astype(float)
+            total, weight = raw.copy(), np.ones_like(raw)
+            for frame in others(part["y"].to_numpy()[:, None], raw):
+                w = np.clip(1 - (frame - raw) ** 2 / np.maximum(sigma * sigma * variance(raw), 1e-9), 0, 1) ** 2
+                total, weight = total + w * frame, weight + w
+            yield pd.DataFrame({"m": part["m"], "y": part["y"], "n": raw.shape[1], "merged": (total / weight).sum(1), "weight": weight.sum(1)})
+
+    return rows.select("m", "y", "raw").mapInPandas(run, "m int, y int, n int, merged double, weight double")

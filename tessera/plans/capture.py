@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import colour, geometry, text
-from tessera.operators import bands, lookup, photometric, records, recovery
+from tessera.operators import bands, lookup, photometric, raster, records, recovery
 from tessera.plans.registry import query
 from tessera.sources import archives, container, metadata, mock
 from tessera.sources.standins import MODULE_ROWS, WIDTH, pixels, sensor_rows, table
@@ -132,11 +132,10 @@ def frame_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     forced = F.transform("sev", lambda s: F.coalesce(F.exists("hot", lambda b: (s >= b["lo"]) & (s < b["hi"])), F.lit(False)).cast("int"))
     ready = rows.join(hot, "m", "left").select("m", "y", "sev", q.alias("q"), forced.alias("forced"))
     done = bands.corrected(ready, MODULE_ROWS, absolute=4 * 64, samples="q", forced="forced")
-    grid = F.expr("transform(sequence(0, 19), i -> 90D * ((37 * i) % 23 - 11) / 256 + 6D * 300 * ((17 * i) % 13 - 6) / 4096)")
-    glow = lambda x: lookup.four_corners(grid, 5, lookup.grid_position(x, 5, WIDTH), lookup.grid_position(y, 4, MODULE_ROWS), 4)
-    left = done.withColumn("v", F.transform("samples", lambda v, x: F.greatest(F.lit(0), F.least(F.lit(65535), v - F.round(64 * glow(x)).cast("int")))))
+    i = np.arange(20)
+    left = raster.without_glow(done, (90.0 * ((37 * i) % 23 - 11) / 256 + 6.0 * 300 * ((17 * i) % 13 - 6) / 4096).reshape(4, 5), MODULE_ROWS)
     total = lambda a: F.sum(F.aggregate(a, F.lit(0).cast("long"), lambda s, v: s + v))
-    return left.groupBy("m").agg(total("v").alias("total"), total(F.transform("v", lambda v, x: v * (x + 1))).alias("weighted"), F.sum("corrected").cast("long").alias("corrected"))
+    return left.groupBy("m").agg(total("samples").alias("total"), total(F.transform("samples", lambda v, x: v * (x + 1))).alias("weighted"), F.sum("corrected").cast("long").alias("corrected"))
 
 
 @query(

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import optics
-from tessera.operators import bands, catalog, histogram, lookup, ordered, raster
+from tessera.operators import bands, catalog, histogram, lookup, ordered, photometric, raster
 from tessera.plans import capture, multiview, photometry, views  # noqa: F401 (they register their queries)
 from tessera.plans.registry import oracle_sql, queries  # noqa: F401
 from tessera.plans.registry import query as _query
@@ -100,16 +101,9 @@ SELECT m, round(avg(merged), 6) AS merged, round(avg(weight), 6) AS weight FROM
     px=True,
 )
 def burst_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A sample's frames lie in its row, so samples are merged there, and rows only add up."""
-    moved = lambda k, x: (13 * k + 7 * F.col("y") + 3 * x) % 41 - 20 + F.when((F.col("y") + x + k) % 97 == 0, 400).otherwise(0)
-
-    def merged(raw: Column, x: Column) -> Column:
-        each = [(raw + moved(k, x), optics.bisquare(moved(k, x).cast("double"), 0.2 * raw + 4.0)) for k in (1, 2, 3)]
-        weight = sum((w for _, w in each), F.lit(1.0))
-        return F.struct((sum((v * w for v, w in each), raw.cast("double")) / weight).alias("merged"), weight.alias("weight"))
-
-    add = lambda c: F.aggregate(F.transform("s", lambda e: e[c]), F.lit(0.0), lambda a, v: a + v)
-    rows = sensor_rows(spark, sf_dir).select("m", F.transform("raw", merged).alias("s")).select("m", F.size("s").alias("n"), add("merged").alias("merged"), add("weight").alias("weight"))
+    x = np.arange(WIDTH)
+    others = lambda y, raw: [raw + (13 * k + 7 * y + 3 * x) % 41 - 20 + 400 * ((y + x + k) % 97 == 0) for k in (1, 2, 3)]
+    rows = photometric.merged(sensor_rows(spark, sf_dir), others, lambda v: 0.2 * v + 4.0)
     return rows.groupBy("m").agg(*(F.round(F.sum(c) / F.sum("n"), 6).alias(c) for c in ("merged", "weight")))
 
 
