@@ -38,3 +38,85 @@ def test_near_duplicates_and_repeats_go_by_row(spark, tmp_path):
     cut = corpus_pipeline.repeated(spark, kept, "")
     assert cut.schema == docs.schema
     assert sorted(((r.doc_id, r.text) for r in cut.collect()), key=str) == sorted([(7, b), (3, a), (None, c), (9, None), (9, None), (None, d + " ")], key=str)
+
+
+def test_run_like_brute_force(spark, tmp_path):
+    """Every stage restated plainly on a small folder, and the rows that come out at the end."""
+    import re
+    import zlib
+
+    import numpy as np
+    import public_tokenizers
+    from test_texts import plain_spans
+    from tokenizers import Tokenizer
+
+    from tessera.llm import toxicity
+
+    draw = random.Random(31)
+    word = lambda: "".join(draw.choice("abcdefgh") for _ in range(draw.randint(2, 6)))
+    some = lambda n: [word() for _ in range(n)]
+    passage = some(60)
+    texts = [some(70) + (["vilewort", "slurword"] if i % 4 == 0 else []) for i in range(60)]
+    for i in (5, 9, 13):
+        texts[i][20:20] = passage
+        texts[i].append("api_key: q9Zr7Lk2Xw8Tb4Mn6Vc1Pd3")
+    texts += [texts[1], texts[1][:-1] + ["end"], texts[2][:40] + some(30), []]
+    rows = [(3 * i + 1, " ".join(t)) for i, t in enumerate(texts)]
+    table = [(i, t, "en", "s", len(t)) for i, t in rows]
+    docs = spark.createDataFrame(table, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels = spark.createDataFrame([(i, 1, int("vilewort" in t)) for i, t in rows[:50]], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+
+    net = toxicity.train(docs, labels)
+    kept = [(i, t) for (i, t), s in zip(rows, net.scores([t for _, t in rows]), strict=True) if s < 0.5]
+    assert 40 < len(kept) < len(rows)
+
+    sets = {i: {tuple(t.split()[j : j + 5]) for j in range(len(t.split()) - 4)} for i, t in kept}
+    of = {i: i for i, _ in kept}
+    for _ in kept:
+        for a in of:
+            for b in of:
+                if sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                    of[a] = min(of[a], of[b])
+    kept = [(i, t) for i, t in kept if of[i] == i]
+
+    seen, cut = set(), []
+    for i, t in kept:
+        gone = bytearray(len(t))
+        for p in range(len(t) - 99):
+            if t[p : p + 100] in seen:
+                gone[p : p + 100] = b"\1" * 100
+            seen.add(t[p : p + 100])
+        cut.append((i, "".join(c for c, g in zip(t, gone, strict=True) if not g)))
+    assert cut != kept
+
+    def redacted(t):
+        hit = bytearray(len(t))
+        for _, s, e in (x.split(":") for x in plain_spans(t)[1].split(",") if x):
+            hit[int(s) : int(e)] = b"\1" * (int(e) - int(s))
+        for m in reversed(list(re.finditer(b"\1+", bytes(hit)))):
+            t = t[: m.start()] + "[SECRET]" + t[m.end() :]
+        return t
+
+    clean = [(i, redacted(t)) for i, t in cut]
+    assert clean != cut
+    own, want = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), []
+    for i, t in clean:
+        ids = np.array([*own.encode(t, add_special_tokens=False).ids, 2], "<u4")
+        assert len(ids) <= 1024
+        want.append((i, 0, 0, len(ids), zlib.crc32(ids.tobytes())))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == want
+    fill = {}
+    for r in got:
+        fill.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for places in fill.values():
+        places.sort()
+        assert [o for o, _ in places] == [0, *np.cumsum([n for _, n in places])[:-1]] and sum(n for _, n in places) <= 1024
+
+
+def test_run_on_an_empty_table(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
