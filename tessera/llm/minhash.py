@@ -13,6 +13,7 @@ members can only be similar if they share one of their first (1 - similarity) *
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain, pairwise
 
 import numpy as np
 import pandas as pd
@@ -131,19 +132,18 @@ def _sets(parts: Iterator[pd.DataFrame], words: int) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"id": own["doc_id"], "own": [x.view(np.int64) for x in sets], "small": small})
 
 
-def _pairs(group: pd.DataFrame, percent: int) -> pd.DataFrame:
+def _linked(block: dict[str, np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Links in a block of a bucket, of each member outside the bucket's main component with members of other components.
 
     Sizes and signatures rule out most; the rest are counted on whole sets, of 32 bits a shingle, with two to spare for hashes
-    that meet. Only links leave the task.
+    that meet.
     """
-    group = group.sort_values("id", kind="stable")
-    ids, comp, n = group["id"].to_numpy(), group["component"].to_numpy(), group["n"].to_numpy()
-    least = np.frombuffer(b"".join(group["least"]), np.uint8).reshape(len(ids), -1)
-    sets = [np.frombuffer(x, np.uint32) for x in group["small"]]
-    here = np.flatnonzero(group["here"].to_numpy())
+    ids, comp, n = block["id"], block["component"], block["n"]
+    least = np.frombuffer(b"".join(block["least"]), np.uint8).reshape(len(ids), -1)
+    sets = [np.frombuffer(x, np.uint32) for x in block["small"]]
+    here = np.flatnonzero(block["here"])
     found = []
-    for i in np.flatnonzero(group["asks"].to_numpy()).tolist():
+    for i in np.flatnonzero(block["asks"]).tolist():
         other = here[comp[here] != comp[i]]
         other = other[100 * np.minimum(n[other], n[i]) >= percent * np.maximum(n[other], n[i])]
         other = other[np.count_nonzero(least[other] == least[i], axis=1) >= LEAST_EQUAL * least.shape[1]]
@@ -155,7 +155,28 @@ def _pairs(group: pd.DataFrame, percent: int) -> pd.DataFrame:
         shared = np.add.reduceat((sets[i][at] == theirs).astype(np.int64), np.cumsum(sizes) - sizes)
         linked = other[100 * (shared + 2) >= percent * (sizes + len(sets[i]) - shared)]
         found += [(min(a, b), max(a, b)) for a, b in ((int(ids[i]), int(ids[j])) for j in linked)]
-    return pd.DataFrame(sorted(set(found)), columns=["u", "v"], dtype="int64")
+    return found
+
+
+def _pairs(parts: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.DataFrame]:
+    """The links of every block; rows come sorted by block. Blocks have few members as a rule, so they are cut out of a part's arrays.
+
+    What a part ends with is handed on to the next: a block has at most about BLOCK members on either side. Only links leave the task.
+    """
+    rest: dict[str, np.ndarray] = {}
+    for part in chain(parts, [None]):
+        if part is not None:
+            now = {c: part[c].to_numpy() for c in part.columns}
+            rest = {c: np.concatenate([rest[c], x]) for c, x in now.items()} if rest else now
+        if not rest or not len(rest["key"]):
+            continue
+        edge = np.logical_or.reduce([rest[c][1:] != rest[c][:-1] for c in ("key", "p", "q")])
+        cuts = [0, *(np.flatnonzero(edge) + 1).tolist()]
+        if part is None:
+            cuts.append(len(rest["key"]))
+        found = [x for a, b in pairwise(cuts) for x in _linked({c: v[a:b] for c, v in rest.items()}, percent)]
+        rest = {c: v[cuts[-1] :] for c, v in rest.items()}
+        yield pd.DataFrame(sorted(set(found)), columns=["u", "v"], dtype="int64")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -218,7 +239,8 @@ def _compared(open_: DataFrame, reps: DataFrame, sets: DataFrame, percent: int)
         .join(reps.select(F.col("doc_id").alias("id"), "least").hint("shuffle_hash"), "id")
         .join(sets.select("id", "small").hint("shuffle_hash"), "id")
     )
-    return placed.groupBy("key", "p", "q").applyInPandas(lambda g: _pairs(g, percent), "u long, v long")
+    sorted_ = placed.select("key", "p", "q", "id", "n", "component", "asks", "here", "least", "small").repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
+    return sorted_.mapInPandas(lambda parts: _pairs(parts, percent), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -10,6 +10,7 @@ import zlib
 from pathlib import Path
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 
@@ -515,3 +516,25 @@ def test_minhash_of_many_texts_with_one_frame(spark, hot, monkeypatch):
         of = {i: low if c == high else c for i, c in of.items()} if low != high else of
     got = {r.doc_id: r.component_id for r in minhash.near_duplicates(table(spark, data), 4).collect()}
     assert got == of and len(set(of.values())) > 300
+
+
+def test_blocks_of_buckets_that_parts_cut():
+    """Blocks handed from part to part give the links that they give in one part; empty parts and no parts give none."""
+    draw = np.random.default_rng(5)
+    base = [np.unique(draw.integers(0, 1 << 32, 60, dtype=np.uint32)) for _ in range(6)]
+    rows = []
+    for i in range(120):
+        own = base[i % 6][: 60 - i % 4]
+        least = np.full(minhash.ROWS * minhash.BANDS, i % 6, np.uint8).tobytes()
+        rows.append((i // 12, 0, i % 2, i, len(own), i, i % 3 == 0, True, least, own.tobytes()))
+    frame = pd.DataFrame(rows, columns=["key", "p", "q", "id", "n", "component", "asks", "here", "least", "small"]).sort_values(["key", "p", "q"], kind="stable")
+    links = lambda parts: {(r.u, r.v) for part in minhash._pairs(iter(parts), 80) for r in part.itertuples()}
+    whole = links([frame])
+    brute = set()
+    for _, block in frame.groupby(["key", "p", "q"]):
+        sets = {r.id: set(np.frombuffer(r.small, np.uint32).tolist()) for r in block.itertuples()}
+        brute |= {(min(a, b), max(a, b)) for a in block.id[block.asks] for b in block.id if a != b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    assert whole == brute and len(whole) > 10
+    for step in (1, 2, 5, 17, 50):
+        assert links([frame.iloc[i : i + step] for i in range(0, len(frame), step)] + [frame.iloc[:0]]) == whole
+    assert links([]) == links([frame.iloc[:0]]) == set()
