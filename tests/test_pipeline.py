@@ -199,3 +199,30 @@ def test_draws_and_texts(spark):
     assert [one(text.decimal_size(F.lit(n).cast("long"))) for n in (999, 1000, 123_400_000, 99_949)] == ["999 B", "1.0 KB", "123 MB", "99.9 KB"]
     assert one(text.moment(F.lit("2024-08-23 01:30:00").cast("timestamp"), F.lit(-330))) == "2024-08-23 01:30:00 -05:30"
     assert one(text.illuminant(F.lit(None).cast("int"))) == "MISSING" and one(text.illuminant(F.lit(99))) == "UNKNOWN"
+
+
+def test_correction_leaves_absent_rows_out(spark):
+    """A frame cut at a band's end, with rows missing within: what is left of a phase is sorted, and its place of 25 is the median."""
+    draw = np.random.default_rng(8)
+    raw, sev, forced = draw.integers(0, 1024, (128, 13)), draw.choice([10, 16, 255], (128, 13)), draw.random((128, 13)) < 0.3
+    there = [y for y in range(64) if y not in (7, 8, 62) and not 20 <= y <= 40 or y == 30]
+    rows = spark.createDataFrame([(3, y, raw[y].tolist() if y != 50 else None, sev[y].tolist(), forced[y].astype(int).tolist()) for y in there], "m int, y int, raw array<int>, sev array<int>, f array<int>")
+    got = {r.y: r for r in bands.corrected(rows, 128, sigma=1.5, absolute=9, forced="f").collect()}
+    there.remove(50)
+    assert sorted(got) == there
+    lost = 0
+    for y in there:
+        want, preds = raw[y].tolist(), []
+        for x in np.flatnonzero(sev[y] >= 16).tolist():
+            near = [(y % 2 + 2 * reflect(y // 2 + a, 64), x % 2 + 2 * reflect(x // 2 + b, -(-(13 - x % 2) // 2))) for a in range(-2, 3) for b in range(-2, 3)]
+            near = sorted(int(raw[p]) for p in near if p[0] in there)
+            pred = near[12] if len(near) > 12 else None
+            if pred is not None:
+                preds.append(pred)
+                d = want[x] - pred
+                gone = (abs(d) if sev[y, x] == 255 else d) > max(1.5 * max(sorted(abs(v - pred) for v in near)[12], 1), 9)
+            if forced[y, x] or pred is not None and gone:
+                want[x] = pred
+        lost += want.count(None)
+        assert (got[y].samples, got[y].sum_pred) == (want, sum(preds) if preds else None)
+    assert lost
