@@ -92,7 +92,7 @@ def hotpixel_forced(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Correction of a monochrome frame with 3 x 3 neighbours and a map of forced places: counts by sign, and the corrected plane."""
     rows = sensor_rows(spark, sf_dir).withColumn("forced", F.transform("raw", lambda v: ((v > 560) & (F.col("y") % 5 == 0)).cast("int")))
     done = bands.corrected(rows, MODULE_ROWS, kernel=3, mono=True, sigma=4.0, absolute=8, forced="forced")
-    placed = F.aggregate(F.transform("samples", lambda v, x: v * (x + 1)), F.lit(0).cast("long"), lambda a, v: a + v)
+    placed = F.aggregate(F.transform("samples", lambda v, x: v * (x + 1)), F.lit(0).cast("long"), lambda a, v: a + F.coalesce(v, F.lit(0)))
     return done.groupBy("m").agg(*(F.sum(c).cast("long").alias(c) for c in ("candidates", "corrected", "positive", "negative", "forced")), F.sum(placed).alias("placed"))
 
 
