@@ -46,7 +46,7 @@ def laplacian(rows: DataFrame, height: int, width: int) -> DataFrame:
 
 
 def without_glow(rows: DataFrame, grid: np.ndarray, height: int, scale: int = 64, white: int = 65535) -> DataFrame:
-    """rows (m, y, samples, corrected) with scale times the bilinear value of a grid of cell centres taken away, rounded half away from zero, held between 0 and white."""
+    """rows (m, y, samples, corrected) with scale times the bilinear value of a grid of cell centres taken away, rounded half away from zero, held between 0 and white; a null sample becomes white."""
 
     def axis(at: np.ndarray, cells: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         p = np.clip((at + 0.5) * cells / size - 0.5, 0, cells - 1)
@@ -57,11 +57,13 @@ def without_glow(rows: DataFrame, grid: np.ndarray, height: int, scale: int = 64
         for part in parts:
             if not len(part):
                 continue
-            v = np.stack(part["samples"].to_numpy()).astype(np.int64)
+            v = np.stack(part["samples"].to_numpy())
+            lost = np.isnan(v)
+            v = np.where(lost, 0, v).astype(np.int64)
             y0, y1, fy = (a[:, None] for a in axis(part["y"].to_numpy(), grid.shape[0], height))
             x0, x1, fx = axis(np.arange(v.shape[1]), grid.shape[1], v.shape[1])
             glow = scale * ((grid[y0, x0] * (1 - fx) + grid[y0, x1] * fx) * (1 - fy) + (grid[y1, x0] * (1 - fx) + grid[y1, x1] * fx) * fy)
             gone = np.where(glow < 0, -np.floor(0.5 - glow), np.floor(glow + 0.5)).astype(np.int64)
-            yield part[["m", "y", "corrected"]].assign(samples=list(np.clip(v - gone, 0, white).astype(np.int32)))
+            yield part[["m", "y", "corrected"]].assign(samples=list(np.where(lost, white, np.clip(v - gone, 0, white)).astype(np.int32)))
 
     return rows.select("m", "y", "samples", "corrected").mapInPandas(run, "m int, y int, corrected int, samples array<int>")

@@ -20,7 +20,7 @@ def both(spark, folder, name, tables):
     return sorted(map(tuple, df.collect()), key=str), sorted(want, key=str)
 
 
-@pytest.mark.parametrize("name", ["hotpixel_forced", "hotpixel_stats"])
+@pytest.mark.parametrize("name", ["frame_pipeline", "hotpixel_forced", "hotpixel_stats"])
 def test_frames_that_lack_rows(spark, tmp_path, name):
     """One cut at 56 of 100 rows, one at a band's end, one of a single row, one with holes."""
     cut = "SELECT * FROM {} WHERE NOT (vec_id // 100 = 1 AND vec_id % 100 >= 64 OR vec_id // 100 = 2 AND vec_id % 100 > 0 OR vec_id // 100 = 3 AND vec_id % 100 BETWEEN 10 AND 88) AND vec_id < 456"
