@@ -52,7 +52,8 @@ def _same(raw: np.ndarray, top: int, y: np.ndarray, x: np.ndarray, clip: float)
 def highlights(rows: DataFrame, height: int, black: float = 0.0, white: float = 65535.0, pattern: str = "RGGB") -> DataFrame:
     """m, y, samples with clipped ones rebuilt (never under the clip), how sure each is in 255ths (0: clipped and not found), and counts.
 
-    Clipped is from 0.995 of the range on. Sites within two of the frame's edge stay as they are.
+    Clipped is from 0.995 of the range on. Sites within two of the frame's edge stay as they are; rows that a frame lacks count as
+    clipped around others, and as none themselves.
     """
     clip = black + max(white - black, 64.0) * 0.995
 

@@ -226,3 +226,13 @@ def test_correction_leaves_absent_rows_out(spark):
         lost += want.count(None)
         assert (got[y].samples, got[y].sum_pred) == (want, sum(preds) if preds else None)
     assert lost
+
+
+def test_highlights_of_a_cut_frame(spark):
+    raw = np.random.default_rng(6).integers(200, 1024, (100, 16))
+    rows = spark.createDataFrame([(0, y, raw[y].tolist()) for y in range(56)], "m int, y int, raw array<int>")
+    got = recovery.highlights(rows, 100, black=64.0, white=900.0).orderBy("y").collect()
+    raw[56:] = 1 << 30  # absent: never good
+    out, sure = rebuilt(raw, 64 + 836 * 0.995, 64.0)
+    assert [r.sure for r in got] == sure[:56].tolist()
+    assert np.abs(np.array([r.samples for r in got]) - out[:56]).max() <= 1
