@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,13 +40,23 @@ def distort(x: Column, k1: float, k2: float, k3: float) -> Column:
     return x * (1.0 + r2 * (k1 + r2 * (k2 + r2 * k3)))
 
 
+def angle(y: Column, x: Column) -> Column:
+    """atan2 by the C library: the JVM's is often off in the last place, which turns hues that are opposite or mirrored to the other side."""
+
+    def run(y: pa.Array, x: pa.Array) -> pa.Array:
+        return pa.array([None if a is None or b is None else math.atan2(a, b) for a, b in zip(y.to_pylist(), x.to_pylist(), strict=True)], pa.float64())
+
+    return F.arrow_udf(run, "double")(y.cast("double"), x.cast("double"))
+
+
 def delta_e00(l1: Column, a1: Column, b1: Column, l2: Column, a2: Column, b2: Column) -> Column:
     """The CIEDE2000 difference of two Lab colours, by the published formula."""
-    mean_c7 = F.pow((F.hypot(a1, b1) + F.hypot(a2, b2)) / 2.0, F.lit(7.0))
+    size = lambda a, b: F.sqrt(a * a + b * b)
+    mean_c7 = F.pow((size(a1, b1) + size(a2, b2)) / 2.0, F.lit(7.0))
     g = 0.5 * (1.0 - F.sqrt(mean_c7 / (mean_c7 + 25.0**7)))
     p1, p2 = a1 * (1.0 + g), a2 * (1.0 + g)
-    c1, c2 = F.hypot(p1, b1), F.hypot(p2, b2)
-    hue = lambda b, p: F.when((b == 0) & (p == 0), F.lit(0.0)).otherwise(F.pmod(F.degrees(F.atan2(b, p)) + 360.0, F.lit(360.0)))
+    c1, c2 = size(p1, b1), size(p2, b2)
+    hue = lambda b, p: F.when((b == 0) & (p == 0), F.lit(0.0)).otherwise(F.pmod(F.degrees(angle(b, p)) + 360.0, F.lit(360.0)))
     h1, h2 = hue(b1, p1), hue(b2, p2)
     grey = c1 * c2 == 0
     d = h2 - h1

@@ -26,3 +26,9 @@ def test_frames_that_lack_rows(spark, tmp_path, name):
     cut = "SELECT * FROM {} WHERE NOT (vec_id // 100 = 1 AND vec_id % 100 >= 64 OR vec_id // 100 = 2 AND vec_id % 100 > 0 OR vec_id // 100 = 3 AND vec_id % 100 BETWEEN 10 AND 88) AND vec_id < 456"
     got, want = both(spark, tmp_path, name, {"embeddings": cut})
     assert got == want
+
+
+def test_mirrored_and_opposite_hues(spark, tmp_path):
+    """Colours of which (by SQL) hues are just over and just under half a turn apart, or mirrored."""
+    got, want = both(spark, tmp_path, "delta_e00", {"part": "SELECT * REPLACE (x.k AS p_partkey, x.s AS p_size) FROM {} JOIN (VALUES (1, 9949, 6), (2, 14490, 41)) x(i, k, s) ON p_partkey = i"})
+    assert got == want and len(got) == 2
