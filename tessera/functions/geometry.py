@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Camera:
-    """k: the two upper rows of the intrinsic matrix; turn and shift take the world to the camera; bend are five coefficients of a lens, on coordinates less centre over scale."""
+    """k: the two upper rows of the intrinsic matrix; turn and shift take the world to the camera; bend are five coefficients of a lens, on coordinates less centre over scale.
+
+    With decimals (and whole numbers) in turn, shift and k, points of decimals are projected exactly up to the division by depth.
+    """
 
     k: tuple
     turn: tuple
@@ -43,17 +46,15 @@ def unbent(bend: tuple, x: Column, y: Column, rounds: int = 20) -> tuple[Column,
 
 
 def _sum(row: tuple, v: tuple) -> Column:
-    out = F.lit(0.0)
-    for a, c in zip(row, v, strict=True):
-        out = out + float(a) * c
-    return out
+    first, *rest = (F.lit(a) * c for a, c in zip(row, v, strict=True))
+    return sum(rest, first)
 
 
 def projected(camera: Camera, x: Column, y: Column, z: Column, bounded: bool = True) -> tuple[Column, Column]:
     """The pixel of a point: null behind the camera, and where bounded is set further than half a frame outside the sensor, where the lens's terms mean nothing."""
-    a, b, c = (_sum(row, (x, y, z)) + float(s) for row, s in zip(camera.turn, camera.shift, strict=True))
-    u, v = (F.try_divide(p, c) for p in (a, b))
-    u, v = camera.k[0][0] * u + camera.k[0][1] * v + camera.k[0][2], camera.k[1][1] * v + camera.k[1][2]
+    a, b, c = (_sum(row, (x, y, z)) + F.lit(s) for row, s in zip(camera.turn, camera.shift, strict=True))
+    over = lambda k, p: F.try_divide((F.lit(k) * p).cast("double"), c.cast("double"))
+    u, v = over(camera.k[0][0], a) + over(camera.k[0][1], b) + camera.k[0][2], over(camera.k[1][1], b) + camera.k[1][2]
     seen = c > 0
     if bounded:
         seen = seen & (u >= -0.5 * camera.width) & (u <= 1.5 * camera.width) & (v >= -0.5 * camera.height) & (v <= 1.5 * camera.height)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -251,8 +253,9 @@ SELECT s.k, round(32 + 50 * a, 6) AS u, round(24 + 50 * b, 6) AS v FROM s LEFT J
 )
 def projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where points of the world fall on a sensor: not behind it, nor further than half a frame outside it."""
-    s = table(spark, sf_dir, "customer").selectExpr("c_custkey AS k", "(c_custkey % 41) * 0.05D - 1 AS x", "(c_custkey % 23) * 0.08D - 0.9D AS y", "CAST((c_custkey % 17) - 3 AS DOUBLE) AS z")
-    camera = geometry.Camera(k=((50, 0.5, 32), (0, 48, 24)), turn=((0.8, 0, -0.6), (0, 1, 0), (0.6, 0, 0.8)), shift=(0.1, -0.2, 1.5), width=64, height=48, bend=(0.05, -0.01, 0.001, -0.002, 0.0), centre=(32, 24), scale=50)
+    s = table(spark, sf_dir, "customer").selectExpr("c_custkey AS k", "(c_custkey % 41) * 0.05BD - 1 AS x", "(c_custkey % 23) * 0.08BD - 0.9BD AS y", "CAST((c_custkey % 17) - 3 AS DECIMAL(20, 0)) AS z")
+    d = Decimal  # points lie on the bounds, to which floats would round from either side
+    camera = geometry.Camera(k=((50, d("0.5"), 32), (0, 48, 24)), turn=((d("0.8"), 0, d("-0.6")), (0, 1, 0), (d("0.6"), 0, d("0.8"))), shift=(d("0.1"), d("-0.2"), d("1.5")), width=64, height=48, bend=(0.05, -0.01, 0.001, -0.002, 0.0), centre=(32, 24), scale=50)
     u, v = geometry.projected(camera, F.col("x"), F.col("y"), F.col("z"))
     return s.select("k", F.round(u, 6).alias("u"), F.round(v, 6).alias("v"))
 

@@ -32,3 +32,8 @@ def test_mirrored_and_opposite_hues(spark, tmp_path):
     """Colours of which (by SQL) hues are just over and just under half a turn apart, or mirrored."""
     got, want = both(spark, tmp_path, "delta_e00", {"part": "SELECT * REPLACE (x.k AS p_partkey, x.s AS p_size) FROM {} JOIN (VALUES (1, 9949, 6), (2, 14490, 41)) x(i, k, s) ON p_partkey = i"})
     assert got == want and len(got) == 2
+
+
+def test_points_on_the_bound_of_a_sensor(spark, tmp_path):
+    got, want = both(spark, tmp_path, "projection", {"customer": "SELECT * REPLACE (x.k AS c_custkey) FROM {} JOIN (VALUES (1, 869), (2, 4473), (3, 7023), (4, 9573)) x(i, k) ON c_custkey = i"})
+    assert got == want and len(got) == 4
