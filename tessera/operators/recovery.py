@@ -133,6 +133,7 @@ def light_prior(rg: Column, bg: Column, anchors: list[tuple[float, float, float]
         dx, dy = x1 - x0, y1 - y0
         size = dx * dx + dy * dy
         share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((rg - x0) * dx + (bg - y0) * dy) / size)) if size > 1e-12 else F.lit(0.0)
-        distance = F.hypot(rg - (x0 + dx * share), bg - (y0 + dy * share))
+        off = rg - x0 - dx * share, bg - y0 - dy * share
+        distance = F.sqrt(off[0] * off[0] + off[1] * off[1])
         options.append(F.struct(distance.alias("distance"), F.lit(i).alias("segment"), share.alias("share"), (m0 + (m1 - m0) * share).alias("mired"), (1.0 / (1.0 + 4.0 * distance)).alias("sure")))
     return F.array_min(F.array(*options))

@@ -34,6 +34,12 @@ def test_mirrored_and_opposite_hues(spark, tmp_path):
     assert got == want and len(got) == 2
 
 
+def test_white_balances_nearest_to_an_anchor(spark, tmp_path):
+    """Both segments end there; the SQL's arithmetic says which is nearer. Every pair of sizes and remainders."""
+    got, want = both(spark, tmp_path, "illuminant_prior", {"part": "SELECT i AS p_partkey, i // 29 AS p_size FROM (SELECT unnest(range(29, 1479)) AS i)"})
+    assert got == want and len(got) == 1450
+
+
 def test_points_on_the_bound_of_a_sensor(spark, tmp_path):
     got, want = both(spark, tmp_path, "projection", {"customer": "SELECT * REPLACE (x.k AS c_custkey) FROM {} JOIN (VALUES (1, 869), (2, 4473), (3, 7023), (4, 9573)) x(i, k) ON c_custkey = i"})
     assert got == want and len(got) == 4
