@@ -286,7 +286,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
         near = near.unionByName(_compared(keep(_by_rare_shingles(hot, sets, percent), "rare-open"), reps, sets, percent))
     more = _confirmed(near, sets, percent)
     if not more.isEmpty():
-        found = keep(components(links.unionByName(more)), "found")
+        stars = found.select(F.col("id").alias("u"), F.col("component").alias("v"))
+        found = keep(components(stars.unionByName(more)), "found")
 
     known = classes.join(found.withColumnRenamed("id", "rep").hint("shuffle_hash"), "rep", "left").select("d1", "d2", "n_shingles", "rows", F.coalesce("component", "rep").alias("component"))
     out = skew.join(signed.select("doc_id", "n_shingles", "d1", "d2"), keep(known, "known"), ["d1", "d2", "n_shingles"], "rows", "left")

@@ -538,3 +538,15 @@ def test_blocks_of_buckets_that_parts_cut():
     for step in (1, 2, 5, 17, 50):
         assert links([frame.iloc[i : i + step] for i in range(0, len(frame), step)] + [frame.iloc[:0]]) == whole
     assert links([]) == links([frame.iloc[:0]]) == set()
+
+
+def test_few_links_are_solved_as_many_are(spark):
+    """Chains, hubs, a self-link, repeated links and ids at both ends of 64 bits, by rounds and by the driver."""
+    from tessera.llm.components import components
+
+    draw = np.random.default_rng(4)
+    pairs = [(i, i + 1) for i in range(100, 160)] + [(7, k) for k in range(300, 340)] + [(5, 5), (-(2**63), 2**63 - 1)] + [(int(a) + 1000, int(b) + 1000) for a, b in draw.integers(0, 200, (90, 2))] * 2
+    links = spark.createDataFrame(pairs, "u long, v long")
+    got, rounds = (sorted(map(tuple, components(links, few=n).collect())) for n in (len(pairs), 0))
+    assert got == rounds and (160, 100) in got and (339, 7) in got and (2**63 - 1, -(2**63)) in got and all(i != 5 for i, _ in got)
+    assert components(links.where("u = 5")).count() == 0
